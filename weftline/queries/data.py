@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import changes, nested, orphans
+from weftline.operators import changes, nested, orphans, units
 from weftline.session import fresh_path, load
 
 
@@ -85,3 +85,21 @@ QUERIES = {
     "p6_found": (p6_found, P6_SQL),
     "p6_report": (p6_report, P6_REPORT_SQL),
 }
+
+
+def _metric_tables(spark, d):
+    return load(spark, d, "metric_facts", "metric_definitions", "metric_crosswalks")
+
+
+def p2_found(spark, d):
+    return units.recorded_elsewhere(*_metric_tables(spark, d))
+
+
+def p2_agreement(spark, d):
+    """Per quantity: facts, and how many of those with a stated unit the model decodes to the same unit."""
+    rows = units.common_units(*_metric_tables(spark, d)).filter(F.col("quantity").isNotNull() & F.col("figure").isNotNull())
+    same = F.abs(F.col("stated_size") / F.col("decoded_size") - 1) < 1e-9
+    return rows.groupBy("quantity").agg(F.count(F.lit(1)).alias("fact_count"), F.count("stated_size").alias("stated_count"), F.count_if(same).alias("agreeing_count"))
+
+
+QUERIES |= {"p2_found": (p2_found, None), "p2_agreement": (p2_agreement, None)}

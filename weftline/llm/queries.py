@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import encoding, topn
+from weftline.llm import encoding, leaks, topn
 from weftline.session import load
 
 
@@ -30,3 +30,17 @@ QUERIES = {
     "p4_found": (p4_found, P4_SQL),
     "p7_ids": (p7_ids, None),
 }
+
+
+def p8_found(spark, d):
+    documents, items = load(spark, d, "documents", "eval_items")
+    return leaks.find_leaks(documents, items).select("doc_id", "item_id")
+
+
+def p8_spans(spark, d):
+    """The pairs of p8_found with the length of the longest passage found and its edits."""
+    documents, items = load(spark, d, "documents", "eval_items")
+    return leaks.find_leaks(documents, items)
+
+
+QUERIES |= {"p8_found": (p8_found, None), "p8_spans": (p8_spans, None)}

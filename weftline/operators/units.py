@@ -69,7 +69,7 @@ def scales(definitions: DataFrame, crosswalks: DataFrame) -> tuple[DataFrame, Da
             sizes = []
             for note, quantity, own in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
                 said = note_statement(note, quantity)
-                sizes.append(None if said is None else said[1] if said[0] == "unit" else own * said[1])
+                sizes.append(None if said is None else said[1] if said[0] == "unit" else _whole(own * said[1]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.float64())], names=["source", "metric", "note", "crosswalk_size"])
 
     notes = crosswalks.select(ref_key("source_descriptor_id").alias("source"), id_key("canonical_metric_definition_id").alias("metric"), F.col("transform_notes").alias("note"))
@@ -79,6 +79,12 @@ def scales(definitions: DataFrame, crosswalks: DataFrame) -> tuple[DataFrame, Da
     return by_metric, by_pair
 
 
+def _whole(size: float) -> float:
+    """A size that differs from a whole number by rounding alone is that number."""
+    near = float(round(size))
+    return near if near and abs(size / near - 1) < 1e-9 else size
+
+
 def _pinned(df: DataFrame) -> DataFrame:
     """A schema-sized frame as local rows if it is small; else as it is.  Keeps its Python stage from running again."""
     rows = df.limit(SMALL + 1).collect()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import encoding, leaks, topn
+from weftline.llm import encoding, leaks, subjects, topn
 from weftline.session import load
 
 
@@ -44,3 +44,14 @@ def p8_spans(spark, d):
 
 
 QUERIES |= {"p8_found": (p8_found, None), "p8_spans": (p8_spans, None)}
+
+
+def p9_found(spark, d):
+    return subjects.document_areas(*load(spark, d, "documents", "subject_labels", "subject_areas")).select("doc_id", "subject")
+
+
+def p9_composition(spark, d):
+    return subjects.composition(*load(spark, d, "documents", "subject_labels", "subject_areas"))
+
+
+QUERIES |= {"p9_found": (p9_found, None), "p9_composition": (p9_composition, None)}

@@ -196,7 +196,7 @@ _OUT = StructType([
 ])
 
 
-def _decode_partition(batches):
+def _decode_partition(batches, carry: tuple[str, ...] = ()):
     """Statements, evidence and Viterbi over one range partition; see the module's text."""
     table = pa.Table.from_batches(list(batches))
     n = table.num_rows
@@ -261,11 +261,12 @@ def _decode_partition(batches):
     nulls = lambda x: pa.array(x, pa.float64(), from_pandas=True)
     yield from pa.table({
         "fact_id": table.column("fact_id"), "metric": table.column("metric"), "source": table.column("source"), "quantity": table.column("quantity"), "figure": nulls(figure), "stated_size": nulls(stated),
-        "codes": pa.array(text, pa.string()), "part": pa.array(np.full(n, part), pa.int64()), "edge": pa.array(edge), "is_block": pa.array(np.zeros(n, dtype=bool)), "scores": pa.nulls(n, pa.string()),
+        "codes": pa.array(text, pa.string()), "part": pa.array(np.full(n, part), pa.int64()), "edge": pa.array(edge), "is_block": pa.array(np.zeros(n, dtype=bool)), "scores": pa.nulls(n, pa.string()), **{c: table.column(c) for c in carry},
     }).to_batches(max_chunksize=20_000)
-    yield pa.RecordBatch.from_pylist([
-        {"fact_id": None, "metric": m, "source": s, "quantity": q, "figure": None, "stated_size": None, "codes": None, "part": p, "edge": w, "is_block": True, "scores": x} for m, s, q, p, w, x in summary
-    ], schema=pa.schema([("fact_id", pa.string()), ("metric", pa.string()), ("source", pa.string()), ("quantity", pa.string()), ("figure", pa.float64()), ("stated_size", pa.float64()), ("codes", pa.string()), ("part", pa.int64()), ("edge", pa.int64()), ("is_block", pa.bool_()), ("scores", pa.string())]))
+    kinds = {"figure": pa.float64(), "stated_size": pa.float64(), "part": pa.int64(), "edge": pa.int64(), "is_block": pa.bool_()} | {c: table.schema.field(c).type for c in carry}
+    schema = pa.schema([(name, kinds.get(name, pa.string())) for name in (*_OUT.names, *carry)])
+    blocks = [{"metric": m, "source": s, "quantity": q, "part": p, "edge": w, "is_block": True, "scores": x} for m, s, q, p, w, x in summary]
+    yield pa.RecordBatch.from_pylist(blocks, schema=schema)
 
 
 def _chain(blocks: list) -> list[tuple[int, int, int]]:
@@ -293,28 +294,30 @@ def _chain(blocks: list) -> list[tuple[int, int, int]]:
     return out
 
 
-def common_units(facts: DataFrame, definitions: DataFrame, crosswalks: DataFrame) -> DataFrame:
-    """fact_id, metric, source, quantity, figure, stated_size, decoded_size, size, common.
+def common_units(facts: DataFrame, definitions: DataFrame, crosswalks: DataFrame, carry: dict[str, str] | None = None) -> DataFrame:
+    """fact_id, metric, source, quantity, figure, stated_size, decoded_size, size, common, and the carried columns.
 
     figure: value_scalar, or where that is null the figure in value_json (null or NaN: none).
     stated_size, decoded_size: the unit by the texts and by the model, in millionths of the
     common unit; size: the stated one, else the decoded one; common: the figure in the common
     unit.  One row per fact row (repeats stay).  A fact of unknown metric with no stated unit
-    has a null size.  Empty tables give no rows.
+    has a null size.  Empty tables give no rows.  carry: new name -> SQL expression over the
+    facts, for columns that go along.
     """
-    spark = facts.sparkSession
+    spark, carry = facts.sparkSession, carry or {}
     by_metric, by_pair = (_pinned(x) for x in scales(definitions, crosswalks))
     light = facts.select(
         F.col("metric_fact_id").alias("fact_id"), "ts", id_key("metric_definition_id").alias("metric"), ref_key("source_descriptor_id").alias("source"), F.col("value_scalar").cast("double").alias("value"),
-        F.when(F.length("value_json") > 6, F.col("value_json")).alias("json"),
+        F.when(F.length("value_json") > 6, F.col("value_json")).alias("json"), *[F.expr(e).alias(c) for c, e in carry.items()],
     )
     joined = light.join(by_metric, "metric", "left").join(by_pair, ["source", "metric"], "left")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-facts.count() // PARTITION_ROWS))
     keys = ["metric", "source", "ts", "fact_id"]
     series = joined.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("ts")
-    path = fresh_path(spark, "units")
-    series.mapInArrow(_decode_partition, _OUT).write.partitionBy("is_block").parquet(path)
-    held = spark.read.schema(_OUT).parquet(path)
+    path, names = fresh_path(spark, "units"), tuple(carry)
+    schema = StructType([*_OUT.fields, *[StructField(c, light.schema[c].dataType) for c in carry]])
+    series.mapInArrow(lambda batches: _decode_partition(batches, names), schema).write.partitionBy("is_block").parquet(path)
+    held = spark.read.schema(schema).parquet(path)
     picks = _chain(held.filter("is_block").select("metric", "source", "part", "edge", "scores").collect())  # two rows per partition at most
     picked = F.broadcast(spark.createDataFrame(picks, "part bigint, edge bigint, pair int"))
     rows = held.filter("not is_block").join(picked, ["part", "edge"], "left")
@@ -323,7 +326,7 @@ def common_units(facts: DataFrame, definitions: DataFrame, crosswalks: DataFrame
     sizes = F.create_map(*[x for q in QUANTITY_NAMES for x in (F.lit(q), F.array(*[F.lit(float(v)) for v in STATES[q]]))])
     decoded = F.when(F.col("quantity").isNotNull(), F.try_element_at(sizes[F.col("quantity")], state + 1))
     size = F.coalesce("stated_size", decoded)
-    return rows.select("fact_id", "metric", "source", "quantity", "figure", "stated_size", decoded.alias("decoded_size"), size.alias("size"), (F.col("figure") * size / F.lit(COMMON)).alias("common"))
+    return rows.select("fact_id", "metric", "source", "quantity", "figure", "stated_size", decoded.alias("decoded_size"), size.alias("size"), (F.col("figure") * size / F.lit(COMMON)).alias("common"), *carry)
 
 
 def recorded_elsewhere(facts: DataFrame, definitions: DataFrame, crosswalks: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import encoding, leaks, subjects, topn
+from weftline.llm import encoding, leaks, percentiles, subjects, topn
 from weftline.session import load
 
 
@@ -55,3 +55,21 @@ def p9_composition(spark, d):
 
 
 QUERIES |= {"p9_found": (p9_found, None), "p9_composition": (p9_composition, None)}
+
+
+def p5_percentiles(spark, d):
+    return percentiles.metric_percentiles(*load(spark, d, "metric_facts", "metric_definitions", "metric_crosswalks"))
+
+
+def p5_latency_counts(spark, d):
+    return percentiles.latency_counts(load(spark, d, "metric_facts"))
+
+
+P5_COUNTS_SQL = """
+WITH once AS (
+  SELECT metric_fact_id, max(lower(trim(metric_definition_id))) AS m, max(strftime(ts, '%Y-%m')) AS month, max(latency_ms_p50) FILTER (WHERE NOT isnan(latency_ms_p50)) AS latency
+  FROM metric_facts GROUP BY metric_fact_id)
+SELECT m AS metric_definition_id, month, count(latency) AS n FROM once WHERE latency IS NOT NULL GROUP BY m, month
+"""
+
+QUERIES |= {"p5_percentiles": (p5_percentiles, None), "p5_latency_counts": (p5_latency_counts, P5_COUNTS_SQL)}

@@ -27,9 +27,9 @@ from weftline.session import materialize
 
 #: Labelled documents the lexicon is fitted on; a bound on the driver's work, not on the corpus.
 FIT_DOCS = 6_000
-#: A term enters the lexicon if this many fitted documents hold it and it tells areas apart this clearly
-#: (nats).
-TERM_DOCS, TERM_GAIN = 3, 0.7
+#: A term enters the lexicon if this many fitted documents hold it and its gain is at least this share of
+#: the most it could be (the log of the number of areas); earlier rounds of the fit ask for less.
+TERM_DOCS, TERM_GAIN = 3, 0.3
 #: A text of which a smaller share of sentences is about any area is about none.
 LEAST_ABOUT = 0.2
 #: A vote needs this much summed log-lift.
@@ -94,14 +94,14 @@ class Lexicon:
         prior = np.asarray(prior_rows)
         post = prior / prior.sum(axis=1, keepdims=True)
         weights = np.zeros((size, k))
-        for _ in range(ROUNDS):
+        for step in range(ROUNDS):
             counts = np.stack([np.bincount(flat, weights=post[sent_of, j], minlength=size) for j in range(k)], axis=1)
             base = (post.sum(axis=0) + 1e-6) / (post.sum() + 1e-6 * k)
             total = counts.sum(axis=1, keepdims=True)
             share = (counts + base) / (total + 1)
             lift = np.log(share / base)
             gain = (share * lift).sum(axis=1)
-            clear = (gain > TERM_GAIN) & (total[:, 0] >= TERM_DOCS)
+            clear = (gain > TERM_GAIN * np.log(k) * (step + 1) / ROUNDS) & (total[:, 0] >= TERM_DOCS)
             weights = np.where(clear[:, None], np.maximum(lift, -3.0), 0.0)
             score = np.stack([np.bincount(sent_of, weights=weights[flat, j], minlength=n) for j in range(k)], axis=1)
             told = np.abs(score).sum(axis=1) > 0
@@ -123,7 +123,7 @@ class Lexicon:
         sources = {}
         for source, counts in by_source.items():
             share = (counts + base) / (counts.sum() + 1)
-            if counts.sum() >= 20 and (share * np.log(share / base)).sum() > TERM_GAIN:
+            if counts.sum() >= 20 and (share * np.log(share / base)).sum() > TERM_GAIN * np.log(k):
                 sources[source] = int(share.argmax())
         return cls(areas, words, pairs, weights[chosen].astype(np.float32), sources, base)
 

@@ -108,3 +108,14 @@ def test_test_tables_by_brute_force_on_candidates(spark, sf):
                 assert (r.doc_id, i) in got
             if (r.doc_id, i) in got:
                 assert n >= 4
+
+
+def test_removal_cuts_every_span_and_nothing_else(spark):
+    rng = random.Random(2)
+    item = " ".join(f"{w}" for w in sentence(rng, 40))
+    head, middle, tail = ("Alpha beta, gamma. " * 12, "Delta epsilon! " * 12, "Zeta eta theta. " * 12)
+    docs = spark.createDataFrame([(1, head + item.upper() + " " + middle + item + ". " + tail), (2, head), (3, item), (4, None), (5, "")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, item)], "item_id bigint, item_text string")
+    got = {r.doc_id: r for r in leaks.remove_leaks(docs, items).collect()}
+    assert got[1].spans == 2 and words(got[1].clean) == words(head + middle + tail) and got[1].clean.startswith(head)
+    assert got[2].clean == head and got[2].spans == 0 and got[3].clean is None and got[3].share == 1.0 and got[4].clean is None and got[5].clean == ""

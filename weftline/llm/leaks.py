@@ -113,14 +113,14 @@ class Automaton:
                     yield at, self.occurs.get(self.seed_state(state), ())
 
 
-def _reach(doc: list[str], item: list[str], i: int, j: int, step: int, most: int) -> list[int]:
-    """reach[e]: words of the item passed from (i, j) on with e edits, ending on a match.
+def _reach(doc: list[str], item: list[str], i: int, j: int, step: int, most: int) -> list[tuple[int, int]]:
+    """reach[e]: (words of the item, words of the document) passed from (i, j) on with e edits, ending on a match.
 
     step 1 goes right, -1 left.  Two words written as one, or one as two, are no edit.
     """
     n, m = len(doc), len(item)
     level = {0: 0}  # doc words minus item words passed -> item words passed
-    best, out = 0, []
+    best, out = (0, 0), []
     for _ in range(most + 1):
         for shift in sorted(level):
             y = level[shift]
@@ -143,7 +143,7 @@ def _reach(doc: list[str], item: list[str], i: int, j: int, step: int, most: int
                     continue
                 break
             if moved:
-                best = max(best, y)
+                best = max(best, (y, y + shift))
             level[shift] = max(level.get(shift, 0), y)
         out.append(best)
         following: dict[int, int] = {}
@@ -155,76 +155,117 @@ def _reach(doc: list[str], item: list[str], i: int, j: int, step: int, most: int
     return out
 
 
-def passage(doc: list[str], item: list[str], i: int, j: int, seed: int = SEED, least: int = LEAST, one_in: int = ONE_IN) -> tuple[int, int] | None:
-    """(words, edits) of the longest passage around the run that ends at doc[i] and item[j]; None if none is long enough."""
-    left0, right0 = i - seed + 1, j - seed + 1
-    most, rounds = min(3, len(item) // one_in), 0
-    found = None
+def passage(doc: list[str], item: list[str], i: int, j: int, seed: int = SEED, least: int = LEAST, one_in: int = ONE_IN) -> tuple[int, int, int, int] | None:
+    """(words, edits, start, end) of the longest passage around the run that ends at doc[i] and item[j]; None if none is long enough.
+
+    The edits allowed grow with the length, so both sides are tried with few edits first and
+    given up once even the best split falls short by more than a further run could make good.
+    """
+    most, top = min(3, len(item) // one_in), len(item) // one_in
     while True:
-        right = _reach(doc, item, i + 1, j + 1, 1, most)
-        left = _reach(doc, item, left0 - 1, right0 - 1, -1, most)
-        worth = -(10**9)
+        right, left = _reach(doc, item, i + 1, j + 1, 1, most), _reach(doc, item, i - seed, j - seed, -1, most)
+        found, worth = None, -(10**9)
         for e in range(most + 1):
-            n = seed + max(left[k] + right[e - k] for k in range(e + 1))
-            worth = max(worth, n - one_in * e) if e >= most - 1 else worth
-            if n >= least and one_in * e <= n and (found is None or n > found[0]):
-                found = (n, e)
-        top = len(item) // one_in
-        if found or most >= top or worth < -3 * one_in:
+            for k in range(e + 1):
+                n = seed + left[k][0] + right[e - k][0]
+                if n >= least and one_in * e <= n and (found is None or n > found[0]):
+                    found = (n, e, i - seed + 1 - left[k][1], i + 1 + right[e - k][1])
+                if e >= most - 1:
+                    worth = max(worth, n - one_in * e)
+        if most >= top or (found is None and worth < -3 * one_in):
             return found
         most = min(top, most * 2)
 
 
-def leaks_in(automata: list[Automaton], text: list[str], least: int = LEAST, one_in: int = ONE_IN) -> list[tuple]:
-    """(item id, words, edits, words of the document before the passage's seed) of each item that a document leaks."""
+def leaks_in(automata: list[Automaton], text: list[str], least: int = LEAST, one_in: int = ONE_IN, every: bool = False) -> list[tuple]:
+    """(item id, words, edits, start, end) of the items that a document leaks; start and end count its words.
+
+    One passage per item, or with ``every`` all that don't lie within another of the item.
+    """
     out = []
     if len(text) < least - least // one_in:
         return out
     for automaton in automata:
-        starts: dict[tuple, tuple] = {}
+        starts: dict[tuple, list] = {}
         for at, held in automaton.seeds(text):
             for number, pos in held:
-                key = (number, pos - at)
-                if key not in starts:
-                    starts[key] = (at, pos)
-        done, known = set(), {}
-        for (number, _), (at, pos) in starts.items():
-            if number in done:
-                continue
+                # a run goes on along one diagonal: its first seed stands for it
+                known = starts.setdefault((number, pos - at), [])
+                if not known or at > known[-1][2] + 1:
+                    known.append([at, pos, at])
+                else:
+                    known[-1][2] = at
+        spans: dict[int, list] = {}
+        bags: dict[int, set] = {}
+        for (number, _), runs in starts.items():
             item = automaton.items[number]
             if len(item) < least:
                 continue
-            bag = known.get(number)
-            if bag is None:
-                bag = known[number] = set(item)
-            window = text[max(0, at - 36) : at + 32]
-            if sum(w in bag for w in window) < least - least // one_in - 4:
-                continue
-            found = passage(text, item, at, pos, automaton.seed, least, one_in)
-            if found:
-                done.add(number)
-                out.append((automaton.ids[number], *found, at))
+            for at, pos, _ in runs:
+                held = spans.setdefault(number, [])
+                if held and not every or any(a <= at < b for a, b in held):
+                    continue
+                bag = bags.setdefault(number, set(item))
+                if sum(w in bag for w in text[max(0, at - 36) : at + 32]) < least - least // one_in - 4:
+                    continue
+                found = passage(text, item, at, pos, automaton.seed, least, one_in)
+                if found:
+                    held.append(found[2:])
+                    out.append((automaton.ids[number], *found))
     return out
 
 
-_built: dict[int, list[Automaton]] = {}
+def word_offset(text: str, count: int) -> int:
+    """The least length of a prefix of the text that holds more than ``count`` words, less its last word; the text's length if none does."""
+    low, high = 0, len(text)
+    if len(words(text)) <= count:
+        return len(text)
+    while low < high:
+        middle = (low + high) // 2
+        if len(words(text[:middle])) > count:
+            high = middle
+        else:
+            low = middle + 1
+    while low > 0 and text[low - 1 : low].isalnum():
+        low -= 1
+    return low
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", least: int = LEAST, one_in: int = ONE_IN) -> DataFrame:
-    """doc_id, item_id, n_words, n_edits: each document and item of which it holds a passage.
+def without_leaks(text: str, automata: list[Automaton], least: int = LEAST, one_in: int = ONE_IN, coverage: float = 0.5) -> tuple[str | None, int, float]:
+    """(clean text, spans cut, share of words that leaked): every leaking span cut out of the text as written.
 
-    n_words counts the item's words in the longest passage found, n_edits its changes.  Null
-    and blank texts and items of fewer than ``least`` words leak nothing.  Whole texts are
-    read, however long.  A repeated row of either table gives no second row of a pair,
-    provided ids are unique or their texts equal.
+    A text of which more than ``coverage`` leaks is no text any more: None.
     """
-    spark = documents.sparkSession
-    held = [(r[0], r[1]) for r in items.select(item_id, item_text).filter(F.col(item_text).isNotNull()).distinct().orderBy(item_id).collect()]  # test items: a fixed set
-    shared = spark.sparkContext.broadcast(held)
-    kind, item_kind = documents.schema[doc_id].dataType, items.schema[item_id].dataType
+    split = words(text)
+    spans = sorted((s[3], s[4]) for s in leaks_in(automata, split, least, one_in, True))
+    merged: list[list[int]] = []
+    for a, b in spans:
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    if not merged:
+        return text, 0, 0.0
+    share = sum(b - a for a, b in merged) / len(split)
+    if share > coverage:
+        return None, len(merged), share
+    parts, at = [], 0
+    for a, b in merged:
+        parts.append(text[at : word_offset(text, a)])
+        at = word_offset(text, b)
+    return "".join(parts) + text[at:], len(merged), share
+
+
+_built: dict[int, list[Automaton]] = {}
+
+
+def _shared(documents: DataFrame, items: DataFrame, item_id: str, item_text: str, least: int):
+    """A function that gives a worker its automata, built once from the broadcast items (a fixed test set)."""
+    held = [(r[0], r[1]) for r in items.select(item_id, item_text).filter(F.col(item_text).isNotNull()).distinct().orderBy(item_id, item_text).collect()]
+    shared = documents.sparkSession.sparkContext.broadcast(held)
 
     def automata() -> list[Automaton]:
-        key = hash(tuple(shared.value))
+        key = hash((least, *shared.value))
         if key not in _built:
             _built.clear()
             blocks, size = [[]], 0
@@ -240,6 +281,19 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
             _built[key] = [Automaton(b) for b in blocks if b]
         return _built[key]
 
+    return automata
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", least: int = LEAST, one_in: int = ONE_IN) -> DataFrame:
+    """doc_id, item_id, n_words, n_edits: each document and item of which it holds a passage.
+
+    n_words counts the item's words in the longest passage found, n_edits its changes.  Null
+    and blank texts and items of fewer than ``least`` words leak nothing.  Whole texts are
+    read, however long.  A repeated row of either table gives no second row of a pair.
+    """
+    kind, item_kind = documents.schema[doc_id].dataType, items.schema[item_id].dataType
+    automata = _shared(documents, items, item_id, item_text, least)
+
     def run(batches):
         built = automata()
         for batch in batches:
@@ -253,5 +307,23 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     return pairs.groupBy(F.col("d").alias(doc_id), F.col("i").alias(item_id)).agg(best.alias("b")).select(doc_id, item_id, F.col("b.n_words").alias("n_words"), (-F.col("b.e")).alias("n_edits"))
 
 
+def remove_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", least: int = LEAST, one_in: int = ONE_IN, coverage: float = 0.5) -> DataFrame:
+    """doc_id, clean, spans, share: the documents with leaking spans cut out; clean is null where more than ``coverage`` of the words leak.
+
+    One row per row; a text without leaks is as it was, a null text stays null.
+    """
+    kind = documents.schema[doc_id].dataType.simpleString()
+    automata = _shared(documents, items, item_id, item_text, least)
+
+    def run(batches):
+        built = automata()
+        for batch in batches:
+            out = [without_leaks(t, built, least, one_in, coverage) if t else (t, 0, 0.0) for t in batch.column(1).to_pylist()]
+            clean, spans, share = zip(*out) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(clean, pa.string()), pa.array(spans, pa.int32()), pa.array(share, pa.float64())], names=[doc_id, "clean", "spans", "share"])
+
+    return documents.select(F.col(doc_id), F.col(text).cast("string").alias("_text")).mapInArrow(run, f"{doc_id} {kind}, clean string, spans int, share double")
+
+
 def _arrow(kind) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32()}.get(kind.simpleString(), pa.string())

@@ -43,7 +43,13 @@ def p8_spans(spark, d):
     return leaks.find_leaks(documents, items)
 
 
-QUERIES |= {"p8_found": (p8_found, None), "p8_spans": (p8_spans, None)}
+def p8_removed(spark, d):
+    """The documents that lose a span, or all, to the removal of leaks."""
+    documents, items = load(spark, d, "documents", "eval_items")
+    return leaks.remove_leaks(documents, items).filter("spans > 0")
+
+
+QUERIES |= {"p8_found": (p8_found, None), "p8_spans": (p8_spans, None), "p8_removed": (p8_removed, None)}
 
 
 def p9_found(spark, d):

@@ -106,12 +106,13 @@ def block_pairs(records: DataFrame, anchors: DataFrame | None = None) -> DataFra
     return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def score_pairs(records: DataFrame, pairs: DataFrame) -> DataFrame:
+def score_pairs(records: DataFrame, pairs: DataFrame, blocked: bool | None = None) -> DataFrame:
     """a, b, name_sim, attr_sim, score, matched, conflict, veto, decision of each pair.
 
     conflict: the first identifying key on which both have unlike values; veto: disjoint
     primes in unlike scopes; either blocks.  A high score merges only with an equal name or
-    a matched attribute.
+    a matched attribute.  ``blocked`` keeps only pairs that are blocked (or are not), before
+    names are compared, which is the dear part.
     """
     p = _prepared(records).drop("block")
     side = lambda s: p.select(F.col("id").alias(s), F.struct("name", "attributes", "scope", "primes").alias(f"_{s}"))
@@ -122,6 +123,9 @@ def score_pairs(records: DataFrame, pairs: DataFrame) -> DataFrame:
     attr = F.when(F.size(shared) > 0, F.size(matched) / F.size(shared)).otherwise(0.0)
     clash = F.filter(F.array(*[F.lit(k) for k in EXCLUSIVE]), lambda k: (F.coalesce(ka[k], F.lit("")) != "") & (F.coalesce(kb[k], F.lit("")) != "") & (ka[k] != kb[k]))
     veto = (F.size("_a.primes") > 0) & (F.size("_b.primes") > 0) & ~F.arrays_overlap("_a.primes", "_b.primes") & ~F.col("_a.scope").eqNullSafe(F.col("_b.scope"))
+    if blocked is not None:
+        is_blocked = F.try_element_at(clash, F.lit(1)).isNotNull() | veto
+        j = j.filter(is_blocked if blocked else ~is_blocked)
     s = j.select("a", "b", jaro_winkler(F.col("_a.name"), F.col("_b.name")).alias("n"), attr.alias("at"), matched.alias("matched"), F.try_element_at(clash, F.lit(1)).alias("conflict"), veto.alias("veto"), ((F.size(ka) > 0) | (F.size(kb) > 0)).alias("has"), (F.col("_a.name") == F.col("_b.name")).alias("same_name"))
     s = s.withColumn("score", F.round(F.when(F.col("has"), NAME_WEIGHT * F.col("n") + ATTRIBUTE_WEIGHT * F.col("at")).otherwise(F.col("n")), 4))
     decision = (
@@ -153,7 +157,12 @@ def resolve(records: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     only within a connected component, so each component is one group.  With ``anchors``
     only pairs with a new record are scored; the anchors' own entities stay apart.
     """
-    pairs = materialize(decisive(score_pairs(records, block_pairs(records, anchors))), "er").filter("decision = 'MERGE_VERIFIED'")
+    met = materialize(block_pairs(records, anchors), "er")
+    free = materialize(score_pairs(records, met, blocked=False).filter("decision <> 'NO_MATCH'"), "er")
+    # blocked pairs matter only for the margins of merges by name alone
+    weak = free.filter("decision = 'MERGE_VERIFIED' and size(matched) = 0").select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    near = met.join(weak.withColumnRenamed("id", "a"), "a", "left_semi").unionByName(met.join(weak.withColumnRenamed("id", "b"), "b", "left_semi")).distinct()
+    pairs = materialize(decisive(free.unionByName(score_pairs(records, near, blocked=True))), "er").filter("decision = 'MERGE_VERIFIED'")
     same = representatives(records)
     edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     comp = graph.components(edges)

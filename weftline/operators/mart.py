@@ -131,3 +131,38 @@ def token_bucket(df: DataFrame, key: str, time: str, tie: str, rate: float, burs
 
     seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
     return df.select(key, tie, seconds.alias("_s")).repartition(key).sortWithinPartitions(key, "_s", tie).mapInPandas(run, schema)
+
+
+def composite(axes: dict[str, float], gates: list[Column] | None = None) -> Column:
+    """Weighted sum of score columns (a null axis counts 0); 0 where a gate is not true, whatever the scores."""
+    total = sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in axes.items()), F.lit(0.0))
+    for gate in gates or []:
+        total = F.when(F.coalesce(gate, F.lit(False)), total).otherwise(0.0)
+    return total
+
+
+def health(column: Column) -> Column:
+    """Aggregate of states: none or all unknown: unknown; all known ones down: down; all healthy: healthy; else degraded."""
+    n = F.count(F.lit(1))
+    known = F.count_if(F.coalesce(column, F.lit("unknown")) != "unknown")
+    return F.when(known == 0, "unknown").when(F.count_if(column == "down") == known, "down").when(F.count_if(column == "healthy") == n, "healthy").otherwise("degraded")
+
+
+def worst(column: Column, ladder: tuple[str, ...]) -> Column:
+    """Aggregate: the highest step of a ladder that occurs; null if none does."""
+    names = F.array(*[F.lit(x) for x in ladder])
+    return F.try_element_at(names, F.nullif(F.max(F.array_position(names, column)), F.lit(0)).cast("int"))
+
+
+def cap_weights(df: DataFrame, keys: list[str], item: str, amount: str, most: float) -> DataFrame:
+    """keys, item, weight, trim: each item's share, and the amount to sell where it is above ``most``."""
+    total = F.sum(amount).over(Window.partitionBy(*keys))
+    weight = F.when(total > 0, F.col(amount) / total)
+    return df.select(*keys, item, weight.alias("weight"), F.when(weight > most, F.col(amount) - most * total).otherwise(0.0).alias("trim"))
+
+
+def lookup(df: DataFrame, reference: DataFrame, keys: list[str], prefer: list[str], value: str) -> DataFrame:
+    """df with reference_value: of the reference rows of equal keys, the first by ``prefer`` (nulls last); null if none."""
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in prefer], F.col(value))
+    best = reference.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select(*keys, F.col(value).alias("reference_value"))
+    return df.join(best, keys, "left")

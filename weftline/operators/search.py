@@ -209,3 +209,50 @@ def recall(memories: DataFrame, query: str, workload: str, workspace: str, user:
     scored = token_overlap(seen, query, F.col("text")).withColumn("score", F.round(F.col("score") + 0.1 * F.col("scope"), 6))
     best = scored.groupBy("memory_id").agg(F.max(F.struct("score", "scope")).alias("b")).select("memory_id", F.col("b.scope").alias("scope"), F.col("b.score").alias("score"))
     return best.orderBy(F.desc("scope"), F.desc("score"), "memory_id").limit(k)
+
+
+def ground(nodes: DataFrame, edges: DataFrame, facts: DataFrame, question: str, hops: int = 1, most_seeds: int = 12, most_facts: int = 24) -> DataFrame:
+    """n, s, p, o: numbered facts about the nodes that a question names and their neighbours within ``hops``.
+
+    nodes: id, text; facts: s, p, o.  A node is named by the question's words of three letters
+    or more that stand in its text; the most words come first, ties by id.
+    """
+    import re
+
+    words = sorted({w for w in re.split(r"[^a-z0-9]+", question.lower()) if len(w) > 2 and w not in STOP_WORDS})
+    if not words:
+        return facts.limit(0).select(F.lit(0).alias("n"), "s", "p", "o")
+    low = F.lower(F.concat_ws(" ", "id", "text"))
+    hits = sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
+    seeds = nodes.select("id", hits.alias("h")).filter("h > 0").orderBy(F.desc("h"), "id").limit(most_seeds).select("id")
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    seen = frontier = seeds
+    for _ in range(max(1, hops)):
+        frontier = frontier.join(both, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+        seen = seen.unionByName(frontier)
+    held = facts.join(broadcast_if_small(seen.select(F.col("id").alias("s")).distinct()), "s", "left_semi").select("s", "p", "o").distinct()
+    top = held.orderBy("s", "p", "o").limit(most_facts)
+    return top.select(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("s", "p", "o")).alias("n"), "s", "p", "o")  # at most most_facts rows
+
+
+def rank_candidates(df: DataFrame, asked: list[str], least_trust: float) -> tuple[DataFrame, DataFrame]:
+    """(ranked, excluded): candidates by coverage of the asked verbs times trust; exclusions are kept with their reason.
+
+    df: id, verbs array, trust, verified boolean, access ('granted', 'requires-consent',
+    'denied').  An unverified claim counts 0.8, one that needs consent 0.85.
+    """
+    reason = F.when(F.coalesce(F.col("trust"), F.lit(0.0)) < least_trust, "trust below the floor").when(F.col("access") == "denied", "access denied")
+    marked = df.withColumn("reason", reason)
+    share = F.size(F.array_intersect("verbs", F.array(*[F.lit(v) for v in sorted(set(asked))]))) / F.lit(len(set(asked))) if asked else F.lit(0.5)
+    score = share * F.col("trust") * F.when(F.col("verified"), 1.0).otherwise(0.8) * F.when(F.col("access") == "granted", 1.0).otherwise(0.85)
+    ranked = marked.filter("reason is null").withColumn("score", F.round(score, 9)).drop("reason")
+    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "id"))), marked.filter("reason is not null").select("id", "reason")
+
+
+def route(scored: DataFrame, keys: list[str], item: str, score: str, gap: float = 0.15, floor: float = 0.5) -> DataFrame:
+    """keys, item, decision: 'route' if the best is at least ``floor`` and leads the second by ``gap``, 'pick' if it leads by less, else 'abstain'."""
+    from weftline.operators.windows import best_margin
+
+    best = best_margin(scored, keys, item, score)
+    decision = F.when(F.col(score) < floor, "abstain").when(F.col("margin") >= gap, "route").otherwise("pick")
+    return best.select(*keys, item, decision.alias("decision"))

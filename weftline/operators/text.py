@@ -282,3 +282,44 @@ def robots_allowed(rules: list[tuple[str, str]], path: str) -> bool:
         if re.match(rx, path):
             best = max(best, (len(pattern), kind.lower() == "allow"))
     return best[1]
+
+
+def mentions_of(text: str | None, gazetteer: dict[str, str], cues: dict[str, str] | None = None) -> list[tuple[str, str, int, int]]:
+    """(type, surface, start, end) of mentions: gazetteer names as whole words, words after a cue, personal data.
+
+    Mentions may overlap; of personal data only the SHA-256 is given, never the value.
+    """
+    import hashlib
+
+    out = []
+    if not text:
+        return out
+    if gazetteer:
+        names = {k.lower(): v for k, v in gazetteer.items()}
+        for m in re.finditer(r"(?<!\w)(?:" + "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True)) + r")(?!\w)", text, re.I):
+            out.append((names[m.group().lower()], m.group(), m.start(), m.end()))
+    for cue, kind in (cues or {}).items():
+        for m in re.finditer(rf"(?<!\w){re.escape(cue)}\s+([A-Z][\w-]*(?:\s+[A-Z][\w-]*)*)", text):
+            out.append((kind, m[1], m.start(1), m.end(1)))
+    for start, end, kind in pii_of(text):
+        out.append((kind, "sha256:" + hashlib.sha256(text[start:end].encode()).hexdigest(), start, end))
+    return sorted(out, key=lambda x: (x[2], x[3], x[0]))
+
+
+def mentions(text: Column, gazetteer: dict[str, str], cues: dict[str, str] | None = None) -> Column:
+    """``mentions_of`` over Arrow batches; empty for null."""
+
+    @F.pandas_udf("array<struct<type:string,surface:string,start:int,end:int>>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [dict(zip(("type", "surface", "start", "end"), x)) for x in mentions_of(t, gazetteer, cues)])
+
+    return run(text)
+
+
+def split_reading(value: Column, codes: tuple[str, ...]) -> Column:
+    """Array of (code, value) of a compound reading such as ``138/85``; empty if its parts are not as many numbers as codes."""
+    parts = F.split(F.trim(value), r"\s*/\s*")
+    numbers = F.transform(parts, lambda x: x.try_cast("double"))
+    pairs = F.zip_with(F.array(*[F.lit(c) for c in codes]), numbers, lambda c, v: F.struct(c.alias("code"), v.alias("value")))
+    good = (F.size(parts) == len(codes)) & ~F.exists(numbers, lambda x: x.isNull())
+    return F.when(good, pairs).otherwise(F.array().cast("array<struct<code:string,value:double>>"))

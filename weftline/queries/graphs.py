@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.operators import graph
-from weftline.plans import cypher
+from weftline.plans import cypher, patterns
 from weftline.session import load
 
 
@@ -248,3 +248,65 @@ QUERIES = {
     "graph_louvain": (graph_louvain, None),
     "graph_kronecker": (graph_kronecker, None),
 }
+
+
+def _property_nodes(spark, d):
+    """id, labels, properties of the event graph's nodes, by their latest change."""
+    e = load(spark, d, "hellgraph_events").filter("event_id like 'node%' and seq is not null")
+    last = e.groupBy("event_id").agg(F.max(F.struct("seq", "ingest_time", "label", "properties")).alias("m"))
+    return last.select(F.col("event_id").alias("id"), F.split("m.label", ",").alias("labels"), F.from_json("m.properties", "map<string,string>").alias("properties"))
+
+
+def graph_explore(spark, d):
+    return graph.explore(trade(spark, d).filter("label <> 'IN_REGION'"), _ids(spark, "s1", "s2"), 20).select("id", "rank")
+
+
+def graph_enrich(spark, d):
+    return graph.enrich_class(_property_nodes(spark, d), "Device").select("key", F.round("coverage", 6).alias("coverage"))
+
+
+def graph_edge_cut(spark, d):
+    e = trade(spark, d).filter("label = 'BUYS_FROM'")
+    parts = graph.nodes_of(e).select("id", F.pmod(F.regexp_extract("id", r"(\d+)", 1).cast("int"), F.lit(4)).alias("part"))
+    return graph.edge_cut(e, parts).select("cut", "edges", F.round("share", 6).alias("share"), F.round("balance", 6).alias("balance"))
+
+
+def graph_scope(spark, d):
+    e = trade(spark, d)
+    _, seen = graph.scope(graph.nodes_of(e), e, ~F.col("id").startswith("p") & ~F.col("id").endswith("3"))
+    return seen
+
+
+def graph_ground(spark, d):
+    from weftline.operators import search
+
+    n = load(spark, d, "nation").select(_name("n", "n_nationkey").alias("id"), F.col("n_name").alias("text"))
+    e = trade(spark, d).filter("label in ('IN_NATION', 'IN_REGION') and src not like 'c%'")
+    return search.ground(n, e, e.select(F.col("src").alias("s"), F.col("label").alias("p"), F.col("dst").alias("o")), "which suppliers are in NATION_7 or nation_3?")
+
+
+def graph_match(spark, d):
+    return patterns.match("MATCH (a:Device)-[:DEPENDS_ON]->(b) WHERE a.weight > 50 RETURN a, b, b.owner", _property_nodes(spark, d), event_edges(spark, d))
+
+
+def graph_steps(spark, d):
+    return patterns.steps("g.V().hasLabel('Device').out('DEPENDS_ON').dedup()", _property_nodes(spark, d), event_edges(spark, d))
+
+
+def graph_select(spark, d):
+    t = trade(spark, d).select(F.col("src").alias("s"), F.col("label").alias("p"), F.col("dst").alias("o"))
+    return patterns.select("SELECT ?n (COUNT(?c) AS ?customers) WHERE { ?c BUYS_FROM s1 . ?c IN_NATION ?n } GROUP BY ?n", t)
+
+
+_NODES = "nd AS (SELECT event_id AS id, label, properties FROM hellgraph_events WHERE event_id LIKE 'node%' AND seq IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY seq DESC, ingest_time DESC NULLS LAST, label DESC NULLS LAST, properties DESC NULLS LAST) = 1), dev AS (SELECT * FROM nd WHERE list_contains(string_split(label, ','), 'Device'))"
+
+QUERIES |= {
+    "graph_explore": (graph_explore, None),
+    "graph_enrich": (graph_enrich, f"WITH {_NODES} SELECT key, round(count(DISTINCT id) / (SELECT count(*) FROM dev), 6) AS coverage FROM (SELECT id, unnest(json_keys(properties)) AS key FROM dev WHERE properties IS NOT NULL) GROUP BY 1"),
+    "graph_edge_cut": (graph_edge_cut, f"WITH {TRADE}, e AS (SELECT src, dst, src[2:]::INT % 4 AS pa, dst[2:]::INT % 4 AS pb FROM trade WHERE label = 'BUYS_FROM'), z AS (SELECT p, count(*) AS n FROM (SELECT src AS id, pa AS p FROM e UNION SELECT dst, pb FROM e) GROUP BY 1) SELECT count(*) FILTER (WHERE pa <> pb) AS cut, count(*) AS edges, round(count(*) FILTER (WHERE pa <> pb) / count(*), 6) AS share, (SELECT round(max(n) / avg(n), 6) FROM z) AS balance FROM e"),
+    "graph_scope": (graph_scope, f"WITH {TRADE} SELECT * FROM trade WHERE src[1] <> 'p' AND dst[1] <> 'p' AND src[-1] <> '3' AND dst[-1] <> '3'"),
+    "graph_ground": (graph_ground, f"WITH {TRADE}, s AS (SELECT 'n' || n_nationkey AS id FROM nation WHERE n_name LIKE '%NATION%' ORDER BY 1), e AS (SELECT * FROM trade WHERE label IN ('IN_NATION', 'IN_REGION') AND src[1] <> 'c'), seeds AS (SELECT id FROM (SELECT id, 1 + 0 AS h FROM s) ORDER BY h DESC, id LIMIT 12), seen AS (SELECT id FROM seeds UNION SELECT dst FROM e JOIN seeds ON src = id UNION SELECT src FROM e JOIN seeds ON dst = id) SELECT row_number() OVER (ORDER BY src, label, dst)::INT AS n, src AS s, label AS p, dst AS o FROM (SELECT DISTINCT src, label, dst FROM e WHERE src IN (SELECT id FROM seen) ORDER BY src, label, dst LIMIT 24)"),
+    "graph_match": (graph_match, f"WITH {EVENT}, {_NODES} SELECT a.id AS a, b.id AS b, json_extract_string(b.properties, '$.owner') AS b_owner FROM dev a JOIN (SELECT DISTINCT src, dst FROM ev WHERE label = 'DEPENDS_ON') e ON e.src = a.id JOIN nd b ON b.id = e.dst WHERE TRY_CAST(json_extract_string(a.properties, '$.weight') AS DOUBLE) > 50"),
+    "graph_steps": (graph_steps, f"WITH {EVENT}, {_NODES} SELECT DISTINCT dst AS value FROM ev WHERE label = 'DEPENDS_ON' AND src IN (SELECT id FROM dev)"),
+    "graph_select": (graph_select, f"WITH {TRADE} SELECT b.dst AS n, count(DISTINCT b.src) AS customers FROM trade a JOIN trade b ON a.src = b.src AND a.label = 'BUYS_FROM' AND a.dst = 's1' AND b.label = 'IN_NATION' GROUP BY 1"),
+}

@@ -40,3 +40,15 @@ def read_json(spark: SparkSession, path: str) -> dict:
     text = bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
     stream.close()
     return json.loads(text)
+
+
+def ingest(spark: SparkSession, path: str):
+    """path, content_id, media, size: binary files with their content address (SHA-256) and the kind their first bytes tell."""
+    from pyspark.sql import functions as F
+
+    head = F.hex(F.substring("content", 1, 8))
+    media = (
+        F.when(head.startswith("25504446"), "application/pdf").when(head.startswith("504B0304"), "application/zip").when(head.startswith("89504E47"), "image/png").when(head.startswith("FFD8FF"), "image/jpeg")
+        .when(head.startswith("1F8B"), "application/gzip").when(head.startswith("50415231"), "application/parquet").otherwise("text/plain")
+    )
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("content_id"), media.alias("media"), F.col("length").alias("size"))

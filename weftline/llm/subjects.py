@@ -32,6 +32,12 @@ FIT_DOCS = 6_000
 TERM_DOCS, TERM_GAIN = 3, 0.3
 #: A text of which a smaller share of sentences is about any area is about none.
 LEAST_ABOUT = 0.2
+#: Prior of an area that a fitted document isn't labelled with, against 0.45 of one it is; small, so that a
+#: general sentence of many documents can't drift to one area in the fit.
+OTHER_PRIOR = 0.005
+#: With many fitted documents a term must also show its gain in many: documents times gain of at least
+#: a nat per 500 fitted documents, up to this many.
+MOST_EVIDENCE = 12.0
 #: A vote needs this much summed log-lift.
 VOTE = 0.7
 LEAST_SHARE = 0.25
@@ -42,15 +48,26 @@ FUNCTIONS = ("strongest", "words", "pairs", "section", "address", "source")
 _FENCE = re.compile(r"```.*?(?:```|\Z)|^[ \t]*\|.*$", re.S | re.M)
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]»”]*\s+|\n+")
 _WORD = re.compile(r"[^\W_]+")
+#: A line end within a sentence: the next line goes on in lower case.
+_WRAP = re.compile(r"(?<![.!?:\n])[ \t\r]*\n[ \t>]*(?=[a-z\u00df-\u00f6\u00f8-\u00ff])")
+#: A line of at most this many words without a full stop is a heading, not a sentence.
+HEADING = 8
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    """The sentences of a text as normal words; code and table rows are left out, as are sentences of two words or fewer."""
+    """The sentences of a text as normal words; code, table rows, headings and sentences of two words or fewer are left out."""
     if not text:
         return []
     if "```" in text or "|" in text:
         text = _FENCE.sub("\n", text)
-    return [w for w in map(_WORD.findall, _SENTENCE.split(clean(text))) if len(w) > 2]
+    if "\n" in text:
+        text = _WRAP.sub(" ", text)
+    out = []
+    for piece in _SENTENCE.split(clean(text)):
+        found = _WORD.findall(piece)
+        if len(found) > HEADING or (len(found) > 2 and piece.rstrip(" \t\r\"')]*_")[-1:] in (".", "!", "?", ";", "\u3002")):
+            out.append(found)
+    return out
 
 
 def area_key(name: str | None) -> str:
@@ -71,7 +88,7 @@ class Lexicon:
         index: dict = {}
         flat, sent_of, doc_of, prior_rows = [], [], [], []
         for number, (text, held, _) in enumerate(labelled):
-            prior = np.full(k, 0.02)
+            prior = np.full(k, OTHER_PRIOR)
             prior[list(held)] = 0.45
             for words in sentences(text):
                 terms = [index.setdefault(t, len(index)) for t in words if not t.isdigit()]
@@ -84,7 +101,9 @@ class Lexicon:
             return cls(areas, {}, {}, np.zeros((0, k), np.float32), {}, np.full(k, 1 / k))
         flat, sent_of, doc_of = (np.asarray(x, dtype=np.int64) for x in (flat, sent_of, doc_of))
         seen = np.unique(flat * (len(labelled) + 1) + doc_of) // (len(labelled) + 1)
-        enough = np.bincount(seen, minlength=len(index)) >= TERM_DOCS
+        doc_count = np.bincount(seen, minlength=len(index))
+        enough = doc_count >= TERM_DOCS
+        doc_count = doc_count[enough]
         number = np.cumsum(enough) - 1
         keep = enough[flat]
         flat, sent_of = number[flat[keep]], sent_of[keep]
@@ -102,6 +121,7 @@ class Lexicon:
             lift = np.log(share / base)
             gain = (share * lift).sum(axis=1)
             clear = (gain > TERM_GAIN * np.log(k) * (step + 1) / ROUNDS) & (total[:, 0] >= TERM_DOCS)
+            clear &= np.minimum(doc_count, total[:, 0]) * gain > min(MOST_EVIDENCE, len(labelled) / 500)
             weights = np.where(clear[:, None], np.maximum(lift, -3.0), 0.0)
             score = np.stack([np.bincount(sent_of, weights=weights[flat, j], minlength=n) for j in range(k)], axis=1)
             told = np.abs(score).sum(axis=1) > 0

@@ -61,9 +61,19 @@ def parse_body(body: str | None):
         return None
 
 
+#: What a JSON object or list in a string can start with, and the types that are plain values without a look inside.
+_MAYBE = frozenset("{[ \t\r\n")
+_PLAIN = (int, float, bool, type(None))
+
+
+def _is_plain(value) -> bool:
+    kind = type(value)
+    return (kind is str and value[:1] not in _MAYBE) or kind in _PLAIN
+
+
 def _opened(value):
     """An object or list given as a JSON string is opened; everything else stays."""
-    if isinstance(value, str) and value[:64].lstrip()[:1] in ("{", "["):
+    if isinstance(value, str) and value[:1] in _MAYBE and value[:64].lstrip()[:1] in ("{", "["):
         try:
             inner = _decode(value)
         except (ValueError, RecursionError):
@@ -104,7 +114,12 @@ def _graph_of(value, edges: dict) -> None:
         if not isinstance(node, dict):
             continue
         for raw, child in node.items():
-            name = field_name(raw)
+            name = _names.get(raw) or field_name(raw)
+            if _is_plain(child):
+                edge = edges[(parent, name)]
+                edge[0] += 1
+                edge[1] = edge[1] or 1
+                continue
             items, listed = _items(child)
             objects = [x for x in items if isinstance(x, dict)]
             edge = edges[(parent, name)]
@@ -211,7 +226,7 @@ def _id_of(value) -> str | None:
     return _text(value) if isinstance(value, (str, int, float)) and not isinstance(value, bool) else None
 
 
-def _rows_of(value, tables: frozenset, links: dict[str, Link], emit) -> None:
+def _rows_of(value, tables: frozenset, links: dict[str, Link], emit, with_columns: bool = True) -> None:
     """Rows of one body, parents before children; numbering follows the document order."""
     count = 0
     # chain: the enclosing objects as (element name, object, chain above); row: number of the row that takes inlined columns
@@ -226,15 +241,19 @@ def _rows_of(value, tables: frozenset, links: dict[str, Link], emit) -> None:
         def inline(obj, prefix, above):
             here = (above[0], obj, above[1])
             for raw, sub in obj.items():
-                child = field_name(raw)
+                child = _names.get(raw) or field_name(raw)
+                if child not in tables and _is_plain(sub):
+                    if with_columns and sub is not None:
+                        columns[prefix + child] = _text(sub)
+                    continue
                 items, _ = _items(sub)
                 if child in tables:
                     children.extend((child, x, here, i) for i, x in enumerate(items))
                     continue
                 for x in items:
                     if isinstance(x, dict):
-                        inline(x, f"{prefix}{child}.", (child, here))
-                    else:
+                        inline(x, f"{prefix}{child}." if with_columns else "", (child, here))
+                    elif with_columns:
                         columns[prefix + child] = _text(x)
 
         if isinstance(node, dict):
@@ -289,7 +308,7 @@ def shred(df: DataFrame, plan: Plan, links: tuple[Link, ...] = (), record_id: st
                         for held, x in zip(out, (rid, bid, name, number, ptable, prow, ordinal, cid, pid, list(columns.items()) if with_columns else [])):
                             held.append(x)
 
-                _rows_of(value, tables, by_name, emit)
+                _rows_of(value, tables, by_name, emit, with_columns)
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(out, _ROW)], schema=_ROW)
 
     source = df.select(F.col(record_id).cast("bigint").alias("record_id"), F.xxhash64(body).alias("body_id"), F.col(body).alias("body"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -41,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
         root = held.get() if held.isDefined() else None
     if not root:
         root = tempfile.mkdtemp(prefix="weftline-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)  # our own folder only; a cluster's stays
         spark.sparkContext.setCheckpointDir(root)
     return str(root).rstrip("/")
 

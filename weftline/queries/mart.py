@@ -274,7 +274,7 @@ def composite_score(spark, d):
 
 def cap_weights(spark, d):
     s = load(spark, d, "supplier").filter("s_acctbal > 0")
-    return mart.cap_weights(s, ["s_nationkey"], "s_suppkey", "s_acctbal", 0.3).select("s_nationkey", "s_suppkey", F.round("weight", 6).alias("weight"), F.round("trim", 2).alias("trim"))
+    return mart.cap_weights(s, ["s_nationkey"], "s_suppkey", "s_acctbal", 0.3).select("s_nationkey", "s_suppkey", F.round("weight", 6).alias("weight"), F.round("trim", 4).alias("trim"))
 
 
 def reference_lookup(spark, d):
@@ -294,7 +294,7 @@ def route_by_gap(spark, d):
 QUERIES |= {
     "health_fold": (health_fold, "WITH s AS (SELECT user_id, ts::DATE AS day, CASE WHEN value > 45 THEN 'down' WHEN value > 1 THEN 'healthy' ELSE 'unknown' END AS s FROM events) SELECT user_id, day, CASE WHEN count(*) FILTER (WHERE s <> 'unknown') = 0 THEN 'unknown' WHEN count(*) FILTER (WHERE s = 'down') = count(*) FILTER (WHERE s <> 'unknown') THEN 'down' WHEN count(*) FILTER (WHERE s = 'healthy') = count(*) THEN 'healthy' ELSE 'degraded' END AS health, CASE WHEN bool_or(s = 'down') THEN 'down' WHEN bool_or(s = 'healthy') THEN 'healthy' ELSE 'unknown' END AS worst FROM s GROUP BY ALL"),
     "composite_score": (composite_score, "SELECT p_partkey, round(CASE WHEN p_type <> 'ECONOMY' THEN p_size * 0.6 + p_retailprice * 0.01 ELSE 0 END, 4) AS score FROM part"),
-    "cap_weights": (cap_weights, "WITH t AS (SELECT *, sum(s_acctbal) OVER (PARTITION BY s_nationkey) AS t FROM supplier WHERE s_acctbal > 0) SELECT s_nationkey, s_suppkey, round(s_acctbal / t, 6) AS weight, round(CASE WHEN s_acctbal / t > 0.3 THEN s_acctbal - 0.3 * t ELSE 0 END, 2) AS trim FROM t"),
+    "cap_weights": (cap_weights, "WITH t AS (SELECT *, sum(s_acctbal) OVER (PARTITION BY s_nationkey) AS t FROM supplier WHERE s_acctbal > 0) SELECT s_nationkey, s_suppkey, round(s_acctbal / t, 6) AS weight, round(CASE WHEN s_acctbal / t > 0.3 THEN s_acctbal - 0.3 * t ELSE 0 END, 4) AS trim FROM t"),
     "reference_lookup": (reference_lookup, "SELECT c_custkey, c_nationkey, r.v AS reference_value FROM customer LEFT JOIN (SELECT s_nationkey, arg_min(s_acctbal, s_suppkey) AS v FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY 1) r ON c_nationkey = s_nationkey"),
     "route_by_gap": (route_by_gap, "WITH n AS (SELECT user_id, event_type, count(*) AS c FROM events GROUP BY 1, 2), c AS (SELECT user_id, event_type, round(c / sum(c) OVER (PARTITION BY user_id), 9) AS s FROM n), r AS (SELECT *, row_number() OVER w AS k, lead(s) OVER w AS nxt FROM c WINDOW w AS (PARTITION BY user_id ORDER BY s DESC, event_type)) SELECT user_id, event_type, CASE WHEN s < 0.25 THEN 'abstain' WHEN s - coalesce(nxt, 0) >= 0.05 THEN 'route' ELSE 'pick' END AS decision FROM r WHERE k = 1"),
 }

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from weftline.operators import relational as rel
 from weftline.session import load
 
-year = F.year("o_orderdate")
 
 
 def money(c):
@@ -84,7 +83,7 @@ def rel_agg_conditional(spark, d):
 
 def _three(spark, d):
     o, c = load(spark, d, "orders", "customer")
-    return o.join(c, o.o_custkey == c.c_custkey).select("c_mktsegment", "o_orderstatus", year.alias("o_year"), "o_totalprice")
+    return o.join(c, o.o_custkey == c.c_custkey).select("c_mktsegment", "o_orderstatus", F.year("o_orderdate").alias("o_year"), "o_totalprice")
 
 
 _THREE = "WITH t AS (SELECT c_mktsegment, o_orderstatus, year(o_orderdate) AS o_year, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey) SELECT "

@@ -125,7 +125,7 @@ _PRICES = "b AS (SELECT event_type AS symbol, ts::DATE AS day, sum(value) + 1 AS
 _METRICS = """,
 held AS (SELECT b.symbol, b.day, close / lag(close) OVER (PARTITION BY b.symbol ORDER BY b.day) - 1 AS r, lag(weight) OVER (PARTITION BY b.symbol ORDER BY b.day) AS h FROM b JOIN wts USING (symbol, day)),
 daily AS (SELECT day, sum(coalesce(h * r, 0)) AS ret FROM held GROUP BY day),
-eq AS (SELECT day, ret, 100 * exp(sum(ln(1 + ret)) OVER (ORDER BY day)) AS equity, row_number() OVER (ORDER BY day) AS rn FROM daily),
+eq AS (SELECT day, ret, CASE WHEN min(1 + ret) OVER (ORDER BY day) > 0 THEN 100 * exp(sum(ln(1 + ret)) OVER (ORDER BY day)) END AS equity, row_number() OVER (ORDER BY day) AS rn FROM daily),
 dd AS (SELECT *, equity / max(equity) OVER (ORDER BY day) - 1 AS drawdown FROM eq)
 """
 _SUMMARY = _METRICS + """SELECT round(arg_max(equity, day) / arg_min(equity, day) - 1, 4) AS total_return, round(pow(arg_max(equity, day) / arg_min(equity, day), 252.0 / count(*)) - 1, 4) AS cagr,

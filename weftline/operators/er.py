@@ -165,17 +165,27 @@ def resolve(records: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     pairs = materialize(decisive(free.unionByName(score_pairs(records, near, blocked=True))), "er").filter("decision = 'MERGE_VERIFIED'")
     same = representatives(records)
     edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    comp = graph.components(edges)
+    comp = materialize(graph.components(edges), "er")
+    # a component of one link has nothing to refuse: its pair was not blocked
+    linked = pairs.join(comp, F.col("a") == F.col("id")).select("component", "a", "b", "score")
+    many = linked.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
     values = _prepared(records).select("id", F.map_filter("attributes", lambda k, v: k.isin(*EXCLUSIVE) & (v != "")).alias("x"))
-    members = comp.join(values, "id").select("component", "id", F.to_json("x").alias("x"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("double").alias("score"))
-    links = pairs.join(comp, F.col("a") == F.col("id")).select("component", F.col("a").alias("id"), F.lit(None).cast("string").alias("x"), "b", "score")
+    members = comp.join(many, "component", "left_semi").join(values, "id").select("component", "id", F.to_json("x").alias("x"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("double").alias("score"))
+    links = linked.join(many, "component", "left_semi").select("component", F.col("a").alias("id"), F.lit(None).cast("string").alias("x"), "b", "score")
+    rows = members.unionByName(links).repartition("component").sortWithinPartitions("component", "score", "id", "b")
+    joined = rows.mapInPandas(_constrained_unions, "id string, entity string")
+    simple = comp.join(many, "component", "left_anti").select("id", F.col("component").alias("entity"))
+    named = same.join(joined.unionByName(simple).select(F.col("id").alias("same_as"), "entity"), "same_as", "left").select("id", F.coalesce("entity", "same_as").alias("entity"))
+    return named.select("id", F.min("id").over(Window.partitionBy("entity")).alias("entity"))
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import json
+def _constrained_unions(batches):
+    """Entities of the components of a sorted partition, one component in memory at a time."""
+    import json
 
-        nodes = pdf[pdf["x"].notna()]
-        root = {i: i for i in nodes["id"]}
-        held = {i: json.loads(x) for i, x in zip(nodes["id"], nodes["x"])}
+    def settle(component: list) -> pd.DataFrame:
+        root = {i: i for i, x, _, _ in component if x is not None}
+        held = {i: json.loads(x) for i, x, _, _ in component if x is not None}
 
         def find(i):
             while root[i] != i:
@@ -183,8 +193,7 @@ def resolve(records: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
                 i = root[i]
             return i
 
-        todo = pdf[pdf["b"].notna()]
-        for _, a, b in sorted(zip(-todo["score"], todo["id"], todo["b"])):
+        for _, a, b in sorted((-score, i, b) for i, x, b, score in component if x is None):
             ra, rb = find(a), find(b)
             if ra != rb and not any(k in held[ra] and held[ra][k] != v for k, v in held[rb].items()):
                 lo, hi = min(ra, rb), max(ra, rb)
@@ -192,9 +201,16 @@ def resolve(records: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
                 held[lo] = {**held[hi], **held[lo]}
         return pd.DataFrame({"id": list(root), "entity": [find(i) for i in root]})
 
-    joined = members.unionByName(links).groupBy("component").applyInPandas(run, "id string, entity string")
-    named = same.join(joined.select(F.col("id").alias("same_as"), "entity"), "same_as", "left").select("id", F.coalesce("entity", "same_as").alias("entity"))
-    return named.select("id", F.min("id").over(Window.partitionBy("entity")).alias("entity"))
+    current, component = None, []
+    for pdf in batches:
+        for c, i, x, b, score in zip(pdf["component"], pdf["id"], pdf["x"], pdf["b"], pdf["score"]):
+            if c != current and component:
+                yield settle(component)
+                component = []
+            current = c
+            component.append((i, x, b, score))
+    if component:
+        yield settle(component)
 
 
 def golden(records: DataFrame, entities: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +74,26 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that they need no path of the driver's."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="weftline-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/weftline.zip", "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(package.rglob("*.py")):
+            archive.write(path, f"weftline/{path.relative_to(package)}")
+    context.addPyFile(f"{folder}/weftline.zip")
+
+
 def load(spark: SparkSession, sf_dir: str, *names: str):
     """The named Parquet tables of a folder, in order; one frame if one name is given."""
+    ship(spark)
     frames = [spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names]
     return frames[0] if len(frames) == 1 else frames

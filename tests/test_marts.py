@@ -1,5 +1,7 @@
+import datetime as dt
 import hashlib
 import hmac
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +67,15 @@ def test_as_of_and_range_joins(spark):
     left = spark.createDataFrame([("a", 5, "l1"), ("a", 1, "l2"), ("b", 9, "l3"), (None, 4, "l4")], "k string, t int, x string")
     right = spark.createDataFrame([("a", 2, 20), ("a", 5, 50), ("a", 5, 55), ("c", 1, 1), (None, 3, 33)], "k string, t int, y int")
     assert rows(relational.asof_join(left, right, ["k"], "t", ["y"]).select("x", "y")) == [("l1", 55), ("l2", None), ("l3", None), ("l4", 33)]
+    rng = random.Random(1)
+    start = dt.datetime(2025, 1, 1)
+    at = lambda: start + dt.timedelta(minutes=rng.randrange(6000))
+    key = lambda: "hot" if rng.random() < 0.5 else rng.choice(["a", "b", None])
+    big_l, big_r = [(key(), at(), i) for i in range(400)], [(key(), at(), i) for i in range(60)]
+    dl, dr = spark.createDataFrame(big_l, "k string, t timestamp, x int"), spark.createDataFrame(big_r, "k string, t timestamp, y int")
+    want = sorted((x, max(((rt, y) for rk, rt, y in big_r if rk == k and rt <= t), default=(None, None))[1]) for k, t, x in big_l)
+    for seconds in (None, 3600, 86_400):
+        assert sorted(map(tuple, relational.asof_join(dl, dr, ["k"], "t", ["y"], seconds).select("x", "y").collect())) == want
     points = spark.createDataFrame([(0.5,), (9.9,), (10.0,), (None,), (-3.0,)], "p double")
     ranges = spark.createDataFrame([(0.0, 10.0), (-5.0, 0.0), (9.0, 30.0), (4.0, 4.0), (None, 1.0)], "lo double, hi double")
     want = sorted((p, lo, hi) for p in (0.5, 9.9, 10.0, -3.0) for lo, hi in ((0.0, 10.0), (-5.0, 0.0), (9.0, 30.0)) if lo <= p < hi)

@@ -81,11 +81,15 @@ def _prepared(records: DataFrame) -> DataFrame:
 
 
 def representatives(records: DataFrame) -> DataFrame:
-    """id, same_as: every record and the smallest id with equal content."""
+    """id, same_as: every record and the smallest id with equal content, by SHA-256 of the content.
+
+    Classes form by partial aggregates; a class that holds a third of all records is split by
+    AQE where it is joined back.
+    """
     p = _prepared(records)
-    content = F.xxhash64("name", F.to_json(F.array_sort(F.map_entries("attributes"))), F.coalesce("scope", F.lit("")), F.array_join("primes", "\x01"))
     text = F.concat_ws("\x02", "name", F.to_json(F.array_sort(F.map_entries("attributes"))), F.coalesce("scope", F.lit("")), F.array_join("primes", "\x01"))
-    return p.select("id", F.min("id").over(Window.partitionBy(content, F.sha2(text, 256))).alias("same_as"))
+    marked = p.select("id", F.sha2(F.encode(text, "utf-8"), 256).alias("h"))
+    return marked.join(marked.groupBy("h").agg(F.min("id").alias("same_as")), "h").select("id", "same_as")
 
 
 def block_pairs(records: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
@@ -176,7 +180,8 @@ def resolve(records: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     joined = rows.mapInPandas(_constrained_unions, "id string, entity string")
     simple = comp.join(many, "component", "left_anti").select("id", F.col("component").alias("entity"))
     named = same.join(joined.unionByName(simple).select(F.col("id").alias("same_as"), "entity"), "same_as", "left").select("id", F.coalesce("entity", "same_as").alias("entity"))
-    return named.select("id", F.min("id").over(Window.partitionBy("entity")).alias("entity"))
+    least = named.groupBy("entity").agg(F.min("id").alias("name"))
+    return named.join(least, "entity").select("id", F.col("name").alias("entity"))
 
 
 def _constrained_unions(batches):
@@ -221,7 +226,9 @@ def golden(records: DataFrame, entities: DataFrame) -> DataFrame:
     """
     trust = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(s) for s in SCOPES]), plain(F.col("scope"))), F.lit(0)), F.lit(99))
     attributes = F.coalesce("attributes", F.create_map().cast("map<string,string>"))
-    held = records.join(entities, "id").select("entity", "id", "name", attributes.alias("at"), (-F.size(attributes)).alias("_n"), trust.alias("_t"))
-    ranked = held.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("_n", "_t", "id", "name", F.map_entries("at").alias("e")))).alias("m"))  # the members of one entity
+    held = records.join(entities, "id").select("entity", "id", "name", F.array_sort(F.map_entries(attributes)).alias("e"), (-F.size(attributes)).alias("_n"), trust.alias("_t"))
+    # equal members count, but only one of them is gathered
+    once = held.groupBy("entity", "_n", "_t", "name", "e").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("c"))
+    ranked = once.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("_n", "_t", "id", "name", "e"))).alias("m"), F.sum("c").cast("int").alias("members"))
     merged = F.aggregate("m", F.create_map().cast("map<string,string>"), lambda acc, r: F.map_concat(acc, F.map_from_entries(F.filter(r["e"], lambda e: ~F.map_contains_key(acc, e["key"])))))
-    return ranked.select("entity", F.col("m")[0]["id"].alias("survivor"), F.col("m")[0]["name"].alias("name"), merged.alias("attributes"), F.size("m").alias("members"))
+    return ranked.select("entity", F.col("m")[0]["id"].alias("survivor"), F.col("m")[0]["name"].alias("name"), merged.alias("attributes"), "members")

@@ -33,19 +33,33 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     return points.withColumn("_bucket", bucket(point)).join(spread, "_bucket").filter((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_bucket")
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], slice_seconds: int | None = None) -> DataFrame:
     """Each left row with the values of the last right row of its keys at or before its time (null if none).
 
     Both sides go through one window per key instead of a theta join: no pair is ever built.
-    Of right rows with equal time the one with the greatest values counts.
+    Of right rows with equal time the one with the greatest values counts.  With
+    ``slice_seconds`` (for timestamps) the window is one slice of time of a key, and what the
+    slices before left over is carried in; so a key that holds a third of all rows is spread
+    over its slices.
     """
     pack = F.struct(*[F.col(v) for v in values])
     columns = [c for c in left.columns if c not in keys and c != time]
     a = left.select(*keys, time, F.struct(*[F.col(c) for c in columns]).alias("_l"), F.lit(None).cast(_struct_of(right, values)).alias("_r"), F.lit(1).alias("_side"))
     b = right.select(*keys, time, F.lit(None).cast(_struct_of(left, columns)).alias("_l"), pack.alias("_r"), F.lit(0).alias("_side"))
-    upto = Window.partitionBy(*keys).orderBy(time, "_side", "_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = a.unionByName(b).withColumn("_last", F.last("_r", ignorenulls=True).over(upto)).filter("_side = 1")
-    return both.select(*keys, time, *[F.col(f"_l.{c}").alias(c) for c in columns], *[F.col(f"_last.{v}").alias(v) for v in values])
+    both, within = a.unionByName(b), list(keys)
+    if slice_seconds:
+        both = both.withColumn("_slice", F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (slice_seconds * 1_000_000)))
+        within.append("_slice")
+    upto = Window.partitionBy(*within).orderBy(time, "_side", "_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_last", F.last("_r", ignorenulls=True).over(upto)).filter("_side = 1")
+    if slice_seconds:
+        # one row per key and slice: its last right row, then the last of all slices before
+        ends = both.groupBy(*within).agg(F.max(F.when(F.col("_side") == 0, F.struct(F.col(time).alias("t"), F.col("_r").alias("r")))).alias("_e"))
+        before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.withColumn("_c", F.last(F.col("_e.r"), ignorenulls=True).over(before)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(within)], "_c")
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(within)]
+        found = found.join(carried, same, "left").withColumn("_last", F.coalesce("_last", "_c"))
+    return found.select(*keys, time, *[F.col(f"_l.{c}").alias(c) for c in columns], *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
 def _struct_of(df: DataFrame, columns: list[str]) -> str:

@@ -194,14 +194,13 @@ def entities(text: Column) -> Column:
     return F.array_distinct(F.transform(found, F.lower))
 
 
-def cooccurrence(df: DataFrame, doc_id: str, text: str, most: int = 12) -> DataFrame:
+def cooccurrence(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """a, b, n: pairs of entities (a < b) named in one sentence, and the number of their sentences.
 
-    A sentence of more than ``most`` entities is a list, not a statement, and gives no pairs:
-    that bounds the pairs of one sentence.
+    Pairs are built within a sentence only and are counted before the shuffle.
     """
     sentence = F.explode(F.split(F.col(text), r"(?<=[.!?])\s+|\n"))
-    named = df.select(doc_id, sentence.alias("s")).select(F.array_sort(entities(F.col("s"))).alias("e")).filter((F.size("e") > 1) & (F.size("e") <= most))
+    named = df.select(doc_id, sentence.alias("s")).select(F.array_sort(entities(F.col("s"))).alias("e")).filter(F.size("e") > 1)
     first = named.select(F.posexplode("e").alias("i", "a"), "e")
     pairs = first.select("a", F.explode(F.expr("slice(e, i + 2, size(e))")).alias("b"))
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))

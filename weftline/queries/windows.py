@@ -66,7 +66,7 @@ def win_asof(spark, d):
     e = _events(spark, d)
     buys = e.filter("event_type = 'purchase'").select("user_id", "ts", "event_id")
     views = e.filter("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
-    return rel.asof_join(buys, views, ["user_id"], "ts", ["view_id"]).select("event_id", "view_id")
+    return rel.asof_join(buys, views, ["user_id"], "ts", ["view_id"], slice_seconds=86_400).select("event_id", "view_id")
 
 
 def win_trend_band(spark, d):

@@ -30,7 +30,7 @@ def commit_json(spark: SparkSession, path: str, content: dict) -> None:
     out = fs.create(make(f"{path}.tmp"), True)
     out.write(bytearray(json.dumps(content).encode()))
     out.close()
-    if not fs.rename(make(f"{path}.tmp"), make(path)):
+    if fs.exists(make(path)) or not fs.rename(make(f"{path}.tmp"), make(path)):
         raise OSError(f"cannot commit {path}: another writer was first")
 
 

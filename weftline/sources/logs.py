@@ -79,4 +79,6 @@ def crawl(pages: DataFrame, seeds: DataFrame, most_depth: int, url: str = "url",
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % 10 == 0:
+            seen = materialize(seen, "crawl")
     return seen

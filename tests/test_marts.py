@@ -151,3 +151,18 @@ def test_batch_hash_is_free_of_order(spark):
     assert h(a) == h(a.orderBy(F.desc("i"))) != h(a.limit(2))
     t = spark.createDataFrame([("2025-01-01T00:00:00.123456Z",), ("what",), (None,)], "t string").select(logs.event_time(F.col("t")).cast("string").alias("t"))
     assert [r[0] for r in t.collect()] == ["2025-01-01 00:00:00.123", "1970-01-01 00:00:00", "1970-01-01 00:00:00"]
+
+
+def test_sessions_are_the_same_in_slices(spark):
+    rng = random.Random(3)
+    rows_ = [("hot" if rng.random() < 0.5 else rng.choice(["a", None]), dt.datetime(2025, 1, 1) + dt.timedelta(minutes=rng.randrange(9000)), i) for i in range(500)]
+    df = spark.createDataFrame(rows_, "k string, t timestamp, i int")
+    want = []
+    for k in {r[0] for r in rows_}:
+        last = no = None
+        for t in sorted(r[1] for r in rows_ if r[0] == k):
+            if last is None or (t - last).total_seconds() > 1800:
+                want.append([k, (no or 0) + 1, t, t, 0])
+            want[-1][3], want[-1][4], last, no = t, want[-1][4] + 1, t, want[-1][1]
+    for seconds in (None, 3600, 86_400):
+        assert rows(relational.sessions(df, "k", "t", 1800, "i", seconds)) == sorted(map(tuple, want), key=repr)

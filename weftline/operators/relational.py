@@ -66,12 +66,30 @@ def _struct_of(df: DataFrame, columns: list[str]) -> str:
     return "struct<" + ",".join(f"`{c}`:{df.schema[c].dataType.simpleString()}" for c in columns) + ">"
 
 
-def sessions(df: DataFrame, key: str, time: str, gap_seconds: int, tie: str) -> DataFrame:
-    """key, session_no, started, ended, n: runs of rows of a key with no gap longer than ``gap_seconds``."""
-    w = Window.partitionBy(key).orderBy(time, tie)
-    gap = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(w).cast("timestamp"))
-    marked = df.withColumn("_new", F.when(gap.isNull() | (gap > gap_seconds * 1_000_000), 1).otherwise(0))
+def sessions(df: DataFrame, key: str, time: str, gap_seconds: int, tie: str, slice_seconds: int | None = None) -> DataFrame:
+    """key, session_no, started, ended, n: runs of rows of a key with no gap longer than ``gap_seconds``.
+
+    With ``slice_seconds`` the windows run over one slice of time of a key; the end of the
+    slices before and their number of sessions are carried in, so a key that holds a third of
+    all rows is spread over its slices.  Rows with a null time form the key's first session.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows, within = df.select(key, time, tie), [key]
+    if slice_seconds:
+        rows, within = rows.withColumn("_slice", F.floor(micros(time) / (slice_seconds * 1_000_000))), [key, "_slice"]
+    w = Window.partitionBy(*within).orderBy(time, tie)
+    before = Window.partitionBy("_k0").orderBy("_k1").rowsBetween(Window.unboundedPreceding, -1)
+    carry = lambda df, column: df.join(column, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(within)], "left").drop("_k0", "_k1")
+    marked = rows.withColumn("_last", F.lag(time).over(w))
+    if slice_seconds:
+        ends = rows.groupBy(F.col(key).alias("_k0"), F.col("_slice").alias("_k1")).agg(F.max(time).alias("_end"))
+        marked = carry(marked, ends.select("_k0", "_k1", F.max("_end").over(before).alias("_prev"))).withColumn("_last", F.coalesce("_last", "_prev"))
+    gap = micros(time) - micros("_last")
+    marked = marked.withColumn("_new", F.when(gap.isNull() | (gap > gap_seconds * 1_000_000), 1).otherwise(0))
     numbered = marked.withColumn("session_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if slice_seconds:
+        starts = marked.groupBy(F.col(key).alias("_k0"), F.col("_slice").alias("_k1")).agg(F.sum("_new").alias("_s"))
+        numbered = carry(numbered, starts.select("_k0", "_k1", F.sum("_s").over(before).alias("_off"))).withColumn("session_no", F.col("session_no") + F.coalesce("_off", F.lit(0)))
     return numbered.groupBy(key, "session_no").agg(F.min(time).alias("started"), F.max(time).alias("ended"), F.count(F.lit(1)).alias("n"))
 
 

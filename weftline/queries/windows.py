@@ -59,7 +59,7 @@ def win_hysteresis(spark, d):
 
 
 def win_session_gap(spark, d):
-    return rel.sessions(_events(spark, d), "user_id", "ts", 6 * 3600, "event_id").select("user_id", F.col("session_no").cast("int").alias("session_no"), "started", "ended", "n")
+    return rel.sessions(_events(spark, d), "user_id", "ts", 6 * 3600, "event_id", slice_seconds=86_400).select("user_id", F.col("session_no").cast("int").alias("session_no"), "started", "ended", "n")
 
 
 def win_asof(spark, d):

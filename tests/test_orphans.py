@@ -41,8 +41,8 @@ def test_equals_brute_force_with_heavy_and_light_keys(spark):
     facts += facts[:100]
     f = spark.createDataFrame(facts, FACTS).withColumn("state", F.lit("x")).withColumn("key", F.lit("y"))
     t = spark.createDataFrame(targets, TARGET).withColumn("key", F.lit("z"))
-    for heavy in (1, 300, 10**9):
-        got = orphans.orphan_references(f, {"run_id": (t, "run_id")}, heavy=heavy)
+    for heavy, few in ((1, 10**6), (300, 10**6), (10**9, 10**6), (300, 3), (1, 3), (10**9, 3)):
+        got = orphans.orphan_references(f, {"run_id": (t, "run_id")}, heavy=heavy, broadcast_rows=few)
         assert {(r["fact_id"], r["state"]) for r in got.collect()} == brute(facts, targets), heavy
         assert got.count() == len(brute(facts, targets))
 

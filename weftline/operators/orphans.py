@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.refs import id_key, ref_key
-from weftline.session import broadcast_if_small, materialize
+from weftline.session import BROADCAST_ROWS, broadcast_if_small, is_small, materialize
 
 #: A key with this many references counts as heavy and is checked by broadcast.
 HEAVY = 100_000
@@ -42,7 +42,7 @@ def target_keys(targets: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 
 
 def failing_keys(refs: DataFrame, keys: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """Keys with a failing reference: field, key, state ('missing', 'deleted', 'late'), created, and their counts per period.
+    """Keys with a failing reference: field, key, state ('missing', 'deleted', 'late'), created, heavy, and their counts per period.
 
     One row per field, key and month of ts; ``refs_n`` counts the references.  A key is
     'late' in a period if at least one reference of the period precedes ``created``.
@@ -59,20 +59,29 @@ def failing_keys(refs: DataFrame, keys: DataFrame, heavy: int = HEAVY) -> DataFr
         .when(F.col("all_deleted"), F.lit("deleted"))
         .when(F.col("created") > F.col("first_ts"), F.lit("late"))
     )
-    both = heavy_part.unionByName(light_part)
-    return both.withColumn("state", state).filter(F.col("state").isNotNull()).select("field", "key", "period", "refs_n", "state", "created")
+    both = heavy_part.withColumn("heavy", F.lit(True)).unionByName(light_part.withColumn("heavy", F.lit(False)))
+    return both.withColumn("state", state).filter(F.col("state").isNotNull()).select("field", "key", "period", "refs_n", "state", "created", "heavy")
 
 
-def orphan_references(facts: DataFrame, targets: dict[str, tuple[DataFrame, str]], fact_id: str = "metric_fact_id", ts: str = "ts", heavy: int = HEAVY) -> DataFrame:
+def orphan_references(facts: DataFrame, targets: dict[str, tuple[DataFrame, str]], fact_id: str = "metric_fact_id", ts: str = "ts", heavy: int = HEAVY, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Each fact and field whose reference fails: fact_id, field, state, ts.
 
     Null, blank and placeholder words are no references.  A fact delivered several times
     with the same reference and time gives one row.  A null ts is never 'late'.  Empty tables
     give no rows (an empty referenced table makes every reference 'missing').
+
+    The failing keys find their facts by broadcast where they are few; else the heavy ones
+    still do, and only the references of the others are shuffled.
     """
     refs = references(facts, fact_id, ts, list(targets))
-    failing = materialize(failing_keys(refs, target_keys(targets), heavy).select("field", "key", "state", "created").distinct(), "failing")
-    hit = refs.join(broadcast_if_small(failing), ["field", "key"])
+    failing = materialize(failing_keys(refs, target_keys(targets), heavy).select("field", "key", "state", "created", "heavy").distinct(), "failing")
+    on = ["field", "key"]
+    if is_small(failing, broadcast_rows):
+        hit = refs.join(F.broadcast(failing.drop("heavy")), on)
+    else:
+        few = broadcast_if_small(failing.filter("heavy").drop("heavy"), max(broadcast_rows, BROADCAST_ROWS))
+        rest = refs.join(few.select(*on).distinct(), on, "left_anti")
+        hit = refs.join(few, on).unionByName(rest.join(failing.filter("not heavy").drop("heavy"), on))
     kept = hit.filter((F.col("state") != "late") | (F.col("created") > F.col("ts")))
     return kept.select("fact_id", "field", "state", "ts").distinct()
 

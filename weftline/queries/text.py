@@ -81,7 +81,7 @@ QUERIES = {
     "txt_redact": (txt_redact, None),
     "txt_entities_cooccur": (txt_entities_cooccur, None),
     "txt_template_extract": (txt_template_extract, """WITH s AS (SELECT doc_id, 'step' AS template, unnest(regexp_extract_all(text, 'Step [-+]?\\d+(?:[.,]\\d+)*: open the \\p{L}+, wait')) AS m FROM documents UNION ALL SELECT doc_id, 'receipt', unnest(regexp_extract_all(text, 'Receipt [-+]?\\d+(?:[.,]\\d+)* links this \\p{L}+ to')) FROM documents)
-SELECT doc_id, template, regexp_extract(m, '([-+]?\\d+(?:[.,]\\d+)*)', 1) AS n, CASE template WHEN 'step' THEN regexp_extract(m, 'the (\\p{L}+), wait', 1) ELSE regexp_extract(m, 'this (\\p{L}+) to', 1) END AS what, 0.7 AS confidence FROM s"""),
+SELECT doc_id, template, regexp_extract(m, '([-+]?\\d+(?:[.,]\\d+)*)', 1) AS n, CASE template WHEN 'step' THEN regexp_extract(m, 'the (\\p{L}+), wait', 1) ELSE regexp_extract(m, 'this (\\p{L}+) to', 1) END AS what, 0.7::DOUBLE AS confidence FROM s"""),
     "txt_exact_dup": (txt_exact_dup, f"WITH h AS (SELECT doc_id, sha256({_NORM}) AS h FROM documents WHERE text IS NOT NULL), c AS (SELECT h, min(doc_id) AS class_id, count(*) AS copies FROM h GROUP BY 1 HAVING count(*) > 1) SELECT doc_id, class_id, copies FROM h JOIN c USING (h)"),
     "txt_links": (txt_links, None),
     "txt_html_to_text": (txt_html_to_text, None),

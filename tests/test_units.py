@@ -122,3 +122,25 @@ def test_partitioning_changes_nothing(spark, sf):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(one) == len(many) and len(one ^ many) <= 0.02 * len(one)  # the level of a stretch depends on where a partition ends
     assert {(f, s) for f, _, s in one} == {(f, s) for f, _, s in many}
+
+
+def test_the_model_decides_where_all_texts_are_silent(spark):
+    """The definition's unit is unreadable: the crosswalk of s1 and some facts' JSON state seconds, s2 and s3 state nothing."""
+    rng = np.random.default_rng(8)
+    defs = spark.createDataFrame([("m", "as reported"), ("n", "as reported"), ("k", "ms")], DEFS)
+    cross = spark.createDataFrame([("s1", "m", "Unit on the source page = s."), ("s2", "m", "Label mapping only."), ("s1", "n", "Label mapping only.")], CROSS)
+    size = {"s1": 1e9, "s2": 1e3, "s3": 1e6}  # seconds, microseconds, milliseconds: about 100 ms each
+    rows, want = [], {}
+    for i in range(900):
+        s = f"s{i % 3 + 1}"
+        v = float(10 ** (2 + rng.normal(0, 0.15)) * 1e6 / size[s])
+        text = '{"unit": "ms"}' if s == "s3" and i < 90 else None
+        rows.append((f"f{i}", None, "m", s, v, text))
+        if s != "s3":
+            want[f"f{i}"] = round(v * size[s])
+    rows += [("n1", None, "n", "s1", 5.0, None), ("k1", None, "k", "s1", 5.0, None), ("k2", None, "k", "s1", 5.0, '{"unit": "s"}')]
+    facts = spark.createDataFrame(rows, FACTS)
+    assert {tuple(r) for r in units.recorded_elsewhere(facts, defs, cross).collect()} == {*want.items(), ("k2", 5_000_000_000)}
+    held = units.common_units(facts, defs, cross).filter("metric = 'm'")
+    assert held.filter("stated_size is null and size is not null").count() == 570
+    assert held.filter("quantity <> 'time' or size is null").count() == 0

@@ -7,7 +7,9 @@ and how near the figure, read in that unit, lies to the series' level, a smooth
 log values; units rarely switch from one fact to the next.  Viterbi decoding finds the most
 likely sequence of units.  An exact check follows: where a text states the unit, the
 statement holds (the fact's own JSON before the crosswalk before the definition); the
-decoded unit stands where all three are silent.
+decoded unit stands where all three are silent.  That takes a definition whose unit is
+unreadable: such a metric has the quantity that crosswalks and facts name most often for it,
+and its level comes from the facts that state their unit.  Without any, nothing is decoded.
 
 Distribution: facts are range-partitioned by (series, time), so a series that holds a third
 of all rows is spread over many tasks.  A series inside one partition is decoded at once.
@@ -48,11 +50,14 @@ PARTITION_ROWS = 200_000
 SMALL = 100_000
 
 
-def scales(definitions: DataFrame, crosswalks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def scales(definitions: DataFrame, crosswalks: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(metric, quantity, definition_size) and (source, metric, crosswalk_size): the units that texts state, in millionths.
 
     Of several crosswalk rows of one source and metric the first in order of note that says
-    anything counts; rows of unknown metrics and silent notes are left out.
+    anything counts; rows of unknown metrics and silent notes are left out.  A metric whose
+    definition names no unit has the quantity that its notes and facts name, a null size and
+    a level; it is left out if no fact gives a level.  Only then are the facts (metric,
+    source, value, json) read, and is there a column level.
     """
 
     def define(batches):
@@ -62,21 +67,67 @@ def scales(definitions: DataFrame, crosswalks: DataFrame) -> tuple[DataFrame, Da
 
     named = definitions.select(id_key("metric_definition_id").alias("metric"), "unit").filter(F.col("metric").isNotNull())
     one = named.groupBy("metric").agg(F.max("unit").alias("unit"))
-    by_metric = one.mapInArrow(define, "metric string, quantity string, definition_size double").filter(F.col("quantity").isNotNull())
+    defined = _pinned(one.mapInArrow(define, "metric string, quantity string, definition_size double"))
+    by_metric, silent = defined.filter(F.col("quantity").isNotNull()), defined.filter(F.col("quantity").isNull()).select("metric")
 
     def read_notes(batches):
         for b in batches:
             sizes = []
             for note, quantity, own in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
                 said = note_statement(note, quantity)
-                sizes.append(None if said is None else said[1] if said[0] == "unit" else _whole(own * said[1]))
+                sizes.append(None if said is None else said[1] if said[0] == "unit" else None if own is None else _whole(own * said[1]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.float64())], names=["source", "metric", "note", "crosswalk_size"])
 
     notes = crosswalks.select(ref_key("source_descriptor_id").alias("source"), id_key("canonical_metric_definition_id").alias("metric"), F.col("transform_notes").alias("note"))
-    known = notes.filter(F.col("source").isNotNull()).join(by_metric, "metric").select("source", "metric", "note", "quantity", "definition_size")
+    notes = notes.filter(F.col("source").isNotNull())
+    unread = not silent.isEmpty()
+    if unread:
+        by_metric = by_metric.unionByName(_pinned(_quantities(silent, notes, facts)).withColumn("definition_size", F.lit(None).cast("double")))
+    known = notes.join(by_metric, "metric").select("source", "metric", "note", "quantity", "definition_size")
     said = known.mapInArrow(read_notes, "source string, metric string, note string, crosswalk_size double").filter(F.col("crosswalk_size").isNotNull())
-    by_pair = said.groupBy("source", "metric").agg(F.min(F.struct("note", "crosswalk_size")).alias("s")).select("source", "metric", F.col("s.crosswalk_size").alias("crosswalk_size"))
-    return by_metric, by_pair
+    by_pair = _pinned(said.groupBy("source", "metric").agg(F.min(F.struct("note", "crosswalk_size")).alias("s")).select("source", "metric", F.col("s.crosswalk_size").alias("crosswalk_size")))
+    if unread:
+        levels = _pinned(_levels(by_metric.filter(F.col("definition_size").isNull()).select("metric", "quantity"), by_pair, facts))
+        by_metric = by_metric.join(levels, "metric", "left").filter(F.col("definition_size").isNotNull() | F.col("level").isNotNull())
+    return _pinned(by_metric), by_pair
+
+
+def _quantities(silent: DataFrame, notes: DataFrame, facts: DataFrame) -> DataFrame:
+    """metric, quantity: what most notes and facts of each given metric name a unit of (ties to the first by name)."""
+
+    def read(says, batches):
+        for b in batches:
+            named = [(m, q) for m, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for q in QUANTITY_NAMES if says(text, q)]
+            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in named], pa.string()), pa.array([q for _, q in named], pa.string())], names=["metric", "quantity"])
+
+    def of_note(note, quantity):
+        said = note_statement(note, quantity)
+        return said is not None and said[0] == "unit"
+
+    kinds = "metric string, quantity string"
+    by_note = notes.join(silent, "metric").select("metric", "note").mapInArrow(lambda batches: read(of_note, batches), kinds)
+    by_fact = facts.filter(F.col("json").isNotNull()).join(silent, "metric").select("metric", "json").mapInArrow(lambda batches: read(lambda text, q: json_statement(text, q)[1] is not None, batches), kinds)
+    votes = by_note.unionByName(by_fact).groupBy("metric", "quantity").agg((-F.count(F.lit(1))).alias("n"))
+    return votes.groupBy("metric").agg(F.min(F.struct("n", "quantity")).alias("v")).select("metric", "v.quantity")
+
+
+def _levels(metrics: DataFrame, by_pair: DataFrame, facts: DataFrame) -> DataFrame:
+    """metric, level: the median log10 figure, in millionths, of each metric's facts whose JSON or crosswalk states the unit."""
+
+    def read(batches):
+        for b in batches:
+            metric, level = [], []
+            for m, quantity, value, text, cross in zip(*(b.column(i).to_pylist() for i in range(5))):
+                figure, size = json_statement(text, quantity)
+                raw, size = figure if value is None else value, cross if size is None else size
+                if raw and size and math.isfinite(raw):
+                    metric.append(m)
+                    level.append(math.log10(abs(raw)) + math.log10(size))
+            yield pa.RecordBatch.from_arrays([pa.array(metric, pa.string()), pa.array(level, pa.float64())], names=["metric", "level"])
+
+    stated = facts.join(metrics, "metric").join(by_pair, ["source", "metric"], "left").filter("json is not null or crosswalk_size is not null")
+    found = stated.select("metric", "quantity", "value", "json", "crosswalk_size").mapInArrow(read, "metric string, level double")
+    return found.groupBy("metric").agg(F.percentile_approx("level", 0.5).alias("level"))
 
 
 def _whole(size: float) -> float:
@@ -91,8 +142,11 @@ def _pinned(df: DataFrame) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= SMALL else df
 
 
-def _emissions(value, quantity, json_size, cross_size, own_size, starts):
-    """Log-evidence (rows x K) for each state; states beyond a quantity's units are impossible."""
+def _emissions(value, quantity, json_size, cross_size, own_size, starts, base=None):
+    """Log-evidence (rows x K) for each state; states beyond a quantity's units are impossible.
+
+    base: the level where a stretch of the series states none.
+    """
     n = len(value)
     sizes = np.full((len(QUANTITY_NAMES) + 1, K), np.nan)
     for i, name in enumerate(QUANTITY_NAMES):
@@ -107,6 +161,8 @@ def _emissions(value, quantity, json_size, cross_size, own_size, starts):
         usable = np.isfinite(logs)
         common = np.where(usable, logs + np.log10(best), np.nan)
         level = _smooth(common, starts)
+        if base is not None:
+            level = np.where(np.isnan(level), base, level)
         far = (logs[:, None] + np.log10(of_row) - level[:, None]) / SPREAD
         e -= np.where(np.isfinite(far), np.minimum(0.5 * far * far, LEVEL_CAP), 0.0)
     e[quantity == len(QUANTITY_NAMES), 0] = 0.0
@@ -223,7 +279,8 @@ def _decode_partition(batches, carry: tuple[str, ...] = ()):
     for a, b in zip(change[:-1], change[1:]):
         blocks.extend([*range(a + BLOCK, b, BLOCK), b])
     blocks = np.array(blocks)
-    e = _emissions(figure, codes_q, said, cross, own, blocks)
+    base = table.column("level").to_numpy(zero_copy_only=False).astype(float) if "level" in table.column_names else None
+    e = _emissions(figure, codes_q, said, cross, own, blocks, base)
     edge = np.zeros(n, dtype=np.int64)
     text = np.empty(n, dtype=object)
     summary = []
@@ -300,16 +357,16 @@ def common_units(facts: DataFrame, definitions: DataFrame, crosswalks: DataFrame
     figure: value_scalar, or where that is null the figure in value_json (null or NaN: none).
     stated_size, decoded_size: the unit by the texts and by the model, in millionths of the
     common unit; size: the stated one, else the decoded one; common: the figure in the common
-    unit.  One row per fact row (repeats stay).  A fact of unknown metric with no stated unit
-    has a null size.  Empty tables give no rows.  carry: new name -> SQL expression over the
+    unit.  One row per fact row (repeats stay).  A fact with no stated unit has a null size if
+    its metric is unknown, or has no readable unit anywhere.  Empty tables give no rows.  carry: new name -> SQL expression over the
     facts, for columns that go along.
     """
     spark, carry = facts.sparkSession, carry or {}
-    by_metric, by_pair = (_pinned(x) for x in scales(definitions, crosswalks))
     light = facts.select(
         F.col("metric_fact_id").alias("fact_id"), "ts", id_key("metric_definition_id").alias("metric"), ref_key("source_descriptor_id").alias("source"), F.col("value_scalar").cast("double").alias("value"),
         F.when(F.length("value_json") > 6, F.col("value_json")).alias("json"), *[F.expr(e).alias(c) for c, e in carry.items()],
     )
+    by_metric, by_pair = scales(definitions, crosswalks, light.select("metric", "source", "value", "json"))
     joined = light.join(by_metric, "metric", "left").join(by_pair, ["source", "metric"], "left")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-facts.count() // PARTITION_ROWS))
     keys = ["metric", "source", "ts", "fact_id"]

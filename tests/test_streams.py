@@ -52,6 +52,15 @@ def test_percolation(spark):
     assert sorted(r.id for r in cursor.percolate(edges, batch).collect()) == ["a", "b", "c", "d", "e", "edge1", "zz"]
 
 
+def test_whole_log_queries_reach_the_last_change(spark, sf):
+    import __spark_entry__ as entry
+
+    log_ = spark.read.parquet(f"{sf}/hellgraph_events.parquet")
+    every = {x for r in log_.select("event_id", "from_id", "to_id").collect() for x in r if x}
+    for name in ("log_changed_ids_all", "stream_percolate_all"):
+        assert {r.id for r in entry.queries()[name](spark, sf).collect()} == every
+
+
 OPS = [("r1", 1, 1, "add_node", "n", None, None, None, None, None, []), ("r2", 1, 2, "add_node", "n", None, None, None, None, None, []), ("r1", 2, 3, "del_node", "n", None, None, None, None, None, [("r1", 1)]),
        ("r1", 3, 4, "add_node", "m", None, None, None, None, None, []), ("r1", 4, 5, "add_edge", None, "n", "m", "L", None, None, []), ("r1", 5, 6, "add_edge", None, "n", "gone", "L", None, None, []),
        ("r1", 6, 9, "set_prop", "n", None, None, None, "k", "old", []), ("r2", 2, 9, "set_prop", "n", None, None, None, "k", "new", []), ("r2", 3, 8, "set_prop", "x", None, None, None, "k", "v", [])]

@@ -134,6 +134,11 @@ def log_changed_ids(spark, d):
     return logs.changed_ids(load(spark, d, "hellgraph_events").filter("seq <= 3000"))
 
 
+def log_changed_ids_all(spark, d):
+    """The ids that any change of the log touches."""
+    return logs.changed_ids(load(spark, d, "hellgraph_events"))
+
+
 def log_event_rows(spark, d):
     """Log rows projected by kind: labels for nodes, ends for edges, canonical properties."""
     e = load(spark, d, "hellgraph_events")
@@ -185,6 +190,11 @@ def stream_percolate(spark, d):
     return cursor.percolate(edges, batch)
 
 
+def stream_percolate_all(spark, d):
+    """What the whole log, taken as one batch, has to make anew."""
+    return cursor.percolate(graphs.event_edges(spark, d), load(spark, d, "hellgraph_events"))
+
+
 def stream_attempts(spark, d):
     s = cursor.event_stream(spark, d).filter("event_type = 'error'").select("user_id")
     out = cursor.run_available(cursor.attempts(s, "user_id", 3))
@@ -242,6 +252,7 @@ QUERIES = {
     "log_validate": (log_validate, "SELECT concat_ws(',', CASE WHEN value_scalar IS NULL OR isnan(value_scalar) THEN 'has_value' END, CASE WHEN NOT coalesce(trim(run_id) <> '', false) THEN 'has_run' END, CASE WHEN NOT coalesce(latency_ms_p50 > 0, false) THEN 'positive_latency' END) AS broken, count(*) AS n FROM metric_facts GROUP BY 1"),
     "log_envelope": (log_envelope, "SELECT event_type AS type, count(*) AS n, count(DISTINCT (user_id, date_trunc('second', ts), event_id, value)) AS ids FROM events GROUP BY 1"),
     "log_changed_ids": (log_changed_ids, "SELECT event_id AS id FROM hellgraph_events WHERE seq <= 3000 AND event_id <> '' UNION SELECT from_id FROM hellgraph_events WHERE seq <= 3000 AND from_id <> '' UNION SELECT to_id FROM hellgraph_events WHERE seq <= 3000 AND to_id <> ''"),
+    "log_changed_ids_all": (log_changed_ids_all, "SELECT event_id AS id FROM hellgraph_events WHERE event_id <> '' UNION SELECT from_id FROM hellgraph_events WHERE from_id <> '' UNION SELECT to_id FROM hellgraph_events WHERE to_id <> ''"),
     "log_event_rows": (log_event_rows, None),
     "log_ticks": (log_ticks, None),
     "log_crawl": (log_crawl, "WITH RECURSIVE c AS (SELECT 1::BIGINT AS n, 0 AS depth UNION SELECT d, depth + 1 FROM (SELECT unnest([n * 2, n * 2 + 1]) AS d, depth FROM c WHERE depth < 6) WHERE d IN (SELECT doc_id FROM documents)) SELECT 'https://hub.example/p' || n AS url, min(depth) AS depth FROM c GROUP BY n"),
@@ -250,6 +261,7 @@ QUERIES = {
     "stream_dedup": (stream_dedup, "SELECT event_id, event_type FROM events"),
     "stream_latest_wins": (stream_latest_wins, "SELECT user_id || '|' || event_type AS key, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1"),
     "stream_percolate": (stream_percolate, "WITH RECURSIVE e AS (SELECT DISTINCT from_id AS src, to_id AS dst FROM hellgraph_events WHERE from_id <> '' AND to_id <> ''), s AS (SELECT event_id AS id FROM hellgraph_events WHERE seq <= 1500 UNION SELECT from_id FROM hellgraph_events WHERE seq <= 1500 AND from_id <> '' UNION SELECT to_id FROM hellgraph_events WHERE seq <= 1500 AND to_id <> ''), c AS (SELECT id FROM s UNION SELECT dst FROM c JOIN e ON src = id) SELECT id FROM c"),
+    "stream_percolate_all": (stream_percolate_all, "WITH RECURSIVE e AS (SELECT DISTINCT from_id AS src, to_id AS dst FROM hellgraph_events WHERE from_id <> '' AND to_id <> ''), s AS (SELECT event_id AS id FROM hellgraph_events WHERE event_id <> '' UNION SELECT from_id FROM hellgraph_events WHERE from_id <> '' UNION SELECT to_id FROM hellgraph_events WHERE to_id <> ''), c AS (SELECT id FROM s UNION SELECT dst FROM c JOIN e ON src = id) SELECT id FROM c"),
     "stream_attempts": (stream_attempts, "SELECT user_id, count(*) AS attempts, greatest(count(*) - 2, 0) AS dead FROM events WHERE event_type = 'error' GROUP BY 1"),
     "stream_materialize": (stream_materialize, "SELECT event_id, max(seq) AS seq FROM hellgraph_events WHERE seq IS NOT NULL GROUP BY 1"),
     "workflow_run": (workflow_run, "SELECT n_name, count(*) AS n, 'observed' AS warrant, true AS verified FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),

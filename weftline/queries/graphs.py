@@ -167,8 +167,7 @@ def graph_lineage(spark, d):
 
 
 def graph_betweenness(spark, d):
-    tree = trade(spark, d).filter("label in ('IN_NATION', 'IN_REGION') and src not like 'c%'")
-    return graph.betweenness(tree).select("id", F.round("betweenness", 6).alias("betweenness"))
+    return graph.betweenness(trade(spark, d)).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
 def graph_louvain(spark, d):

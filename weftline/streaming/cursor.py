@@ -103,7 +103,7 @@ def latest_wins_sink(spark: SparkSession, path: str, key: str, order: str, paylo
 def percolate(edges: DataFrame, batch: DataFrame) -> DataFrame:
     """id: everything downstream of what a batch of the log touched, itself included: what has to be made anew."""
     start = changed_ids(batch)
-    down = graph.khop(edges, start, 1_000).select("id")
+    down = graph.khop(edges, start, None).select("id")
     return start.unionByName(down).distinct()
 
 

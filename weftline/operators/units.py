@@ -1,15 +1,23 @@
 """Quantities recorded in different units: a hidden Markov model per series.
 
 A series is one metric as reported by one source ("device").  The hidden state of a fact is
-the unit its figure was recorded in.  Evidence for a state is what the texts say (strong for
-the fact's own JSON, weaker for the source's crosswalk, weakest for the metric's definition)
-and how near the figure, read in that unit, lies to the series' level, a smooth curve of
-log values; units rarely switch from one fact to the next.  Viterbi decoding finds the most
-likely sequence of units.  An exact check follows: where a text states the unit, the
-statement holds (the fact's own JSON before the crosswalk before the definition); the
-decoded unit stands where all three are silent.  That takes a definition whose unit is
-unreadable: such a metric has the quantity that crosswalks and facts name most often for it,
-and its level comes from the facts that state their unit.  Without any, nothing is decoded.
+the unit its figure was recorded in, and the decoded state alone gives a fact its unit.
+Evidence for a state is what the texts say and how near the figure, read in that unit, lies
+to the series' level, a smooth curve of log values; units rarely switch from one fact to the
+next, and start as the metric's stated units are spread.  Viterbi decoding finds the most likely sequence of units.
+
+The texts rank as the data's rules do: the fact's own JSON before the source's crosswalk
+before the metric's definition.  Their weights are set so that a statement outweighs all
+lesser ones, the level and two switches together; a path through a stated fact therefore
+agrees with its statement.  A fact whose texts are silent or unreadable takes its unit from
+its neighbours in the series and from the level.
+
+The level takes no statement for granted: it starts from the metric's median over all
+sources and the statements, every fact is then given the unit that fits it best with the
+statements as hints only, and the curve is drawn anew through those.
+
+A metric whose definition names no unit has the quantity that its crosswalks and facts name
+most often, and the level of the facts that state their unit.  Without any, nothing is decoded.
 
 Distribution: facts are range-partitioned by (series, time), so a series that holds a third
 of all rows is spread over many tasks.  A series inside one partition is decoded at once.
@@ -33,15 +41,24 @@ from weftline.functions.refs import id_key, ref_key
 from weftline.functions.units import COMMON, STATES, json_statement, note_statement, unit_of
 from weftline.session import broadcast_if_small, fresh_path
 
-K = max(len(s) for s in STATES.values())
+#: States of the widest quantity, and one for a size that only a crosswalk's factor names.
+K = max(len(s) for s in STATES.values()) + 1
+OTHER = K - 1
 PAIRS = K * K
 QUANTITY_NAMES = sorted(STATES)
-#: Log-odds of the texts' statements, of staying in a unit, and the spread of log10 values about the level.
-JSON_WEIGHT, CROSSWALK_WEIGHT, DEFINITION_WEIGHT = 40.0, 9.0, 4.0
+#: Log-odds of a switch of units, and the most that the level counts against a unit: more than two switches.
 SWITCH = math.log(0.01)
-SPREAD = 0.6
-#: The level term counts at most this much, so heavy tails don't outvote a statement.
-LEVEL_CAP = 8.0
+LEVEL_CAP = 14.0
+#: Log-odds of the statements: each exceeds the lesser ones, the level, a rare start and two switches together.
+DEFINITION_WEIGHT = 40.0
+CROSSWALK_WEIGHT = 2 * DEFINITION_WEIGHT
+JSON_WEIGHT = 2 * CROSSWALK_WEIGHT
+#: The same as hints, while the level is drawn: less than the level's cap.
+HINTS = (6.0, 3.0, 2.0)
+#: Spread of log10 values about the level where the metric's own is unknown, and the least that is believed.
+SPREAD, LEAST_SPREAD = 0.6, 0.1
+#: Facts per knot of the curve, and how many facts the metric's level counts for in a knot.
+KNOT, PRIOR_FACTS = 48, 2.0
 NEVER = -1e9
 BLOCK = 512
 #: Facts per range partition; bounds the memory of one task.
@@ -51,13 +68,13 @@ SMALL = 100_000
 
 
 def scales(definitions: DataFrame, crosswalks: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(metric, quantity, definition_size) and (source, metric, crosswalk_size): the units that texts state, in millionths.
+    """(metric, quantity, definition_size, level) and (source, metric, crosswalk_size): the units that texts state, in millionths.
 
     Of several crosswalk rows of one source and metric the first in order of note that says
     anything counts; rows of unknown metrics and silent notes are left out.  A metric whose
     definition names no unit has the quantity that its notes and facts name, a null size and
     a level; it is left out if no fact gives a level.  Only then are the facts (metric,
-    source, value, json) read, and is there a column level.
+    source, value, json) read here.  Column level is null for the other metrics.
     """
 
     def define(batches):
@@ -89,6 +106,8 @@ def scales(definitions: DataFrame, crosswalks: DataFrame, facts: DataFrame) -> t
     if unread:
         levels = _pinned(_levels(by_metric.filter(F.col("definition_size").isNull()).select("metric", "quantity"), by_pair, facts))
         by_metric = by_metric.join(levels, "metric", "left").filter(F.col("definition_size").isNotNull() | F.col("level").isNotNull())
+    else:
+        by_metric = by_metric.withColumn("level", F.lit(None).cast("double"))
     return _pinned(by_metric), by_pair
 
 
@@ -142,41 +161,76 @@ def _pinned(df: DataFrame) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= SMALL else df
 
 
-def _emissions(value, quantity, json_size, cross_size, own_size, starts, base=None):
-    """Log-evidence (rows x K) for each state; states beyond a quantity's units are impossible.
-
-    base: the level where a stretch of the series states none.
-    """
-    n = len(value)
+def _sizes_of(quantity, other):
+    """Sizes (rows x K) of the states of each row's quantity; NaN where there is none."""
     sizes = np.full((len(QUANTITY_NAMES) + 1, K), np.nan)
     for i, name in enumerate(QUANTITY_NAMES):
         sizes[i, : len(STATES[name])] = STATES[name]
     of_row = sizes[quantity]
+    of_row[:, OTHER] = other
+    return of_row
+
+
+def unnamed_sizes(quantity, cross_size):
+    """The crosswalk's sizes that are no unit of the quantity's; NaN elsewhere."""
+    known = np.isclose(_sizes_of(quantity, np.nan), cross_size[:, None], rtol=1e-9).any(axis=1)
+    return np.where(known | (quantity == len(QUANTITY_NAMES)), np.nan, cross_size)
+
+
+def _emissions(value, quantity, said, starts, base, spread, other=np.nan):
+    """Log-evidence (rows x K) for each state; states beyond a quantity's units are impossible.
+
+    said: the sizes stated by JSON, crosswalk and definition, NaN where they are silent.
+    starts: where each series begins, and the end.  base, spread: the metric's level and the
+    spread about it, NaN where unknown.
+    """
+    of_row = _sizes_of(quantity, other)
     with np.errstate(invalid="ignore", divide="ignore"):
-        e = np.where(np.isnan(of_row), NEVER, 0.0)
-        for said, weight in ((json_size, JSON_WEIGHT), (cross_size, CROSSWALK_WEIGHT), (own_size, DEFINITION_WEIGHT)):
-            e += np.where(np.isclose(of_row, said[:, None], rtol=1e-9), weight, 0.0)
-        best = np.where(np.isnan(json_size), np.where(np.isnan(cross_size), own_size, cross_size), json_size)
+        agrees = [np.isclose(of_row, x[:, None], rtol=1e-9) for x in said]
+        possible = ~np.isnan(of_row)
         logs = np.log10(np.abs(value))
-        usable = np.isfinite(logs)
-        common = np.where(usable, logs + np.log10(best), np.nan)
-        level = _smooth(common, starts)
-        if base is not None:
-            level = np.where(np.isnan(level), base, level)
-        far = (logs[:, None] + np.log10(of_row) - level[:, None]) / SPREAD
-        e -= np.where(np.isfinite(far), np.minimum(0.5 * far * far, LEVEL_CAP), 0.0)
+        logs[~np.isfinite(logs)] = np.nan
+        common = logs[:, None] + np.log10(of_row)
+        width = np.where(np.isnan(spread), SPREAD, np.maximum(spread, LEAST_SPREAD))[:, None]
+
+        def about(level):
+            far = (common - level[:, None]) / width
+            return np.where(np.isfinite(far), np.minimum(0.5 * far * far, LEVEL_CAP), 0.0)
+
+        best = np.where(np.isnan(said[0]), np.where(np.isnan(said[1]), said[2], said[1]), said[0])
+        hints = sum(np.where(a, w, 0.0) for a, w in zip(agrees, HINTS))
+        level = _curve(logs + np.log10(best), starts, base)
+        fit = np.where(possible, hints - about(level), NEVER).argmax(axis=1)
+        told = ~np.isnan(best) | ~np.isnan(level)
+        level = _curve(np.where(told, common[np.arange(len(fit)), fit], np.nan), starts, base)
+        e = np.where(possible, -about(level), NEVER)
+    for a, weight in zip(agrees, (JSON_WEIGHT, CROSSWALK_WEIGHT, DEFINITION_WEIGHT)):
+        e += np.where(a, weight, 0.0)
     e[quantity == len(QUANTITY_NAMES), 0] = 0.0
     return e
 
 
-def _smooth(common, starts):
-    """The level of each row: the median of its stretch of the series; the series' first stretch has no other."""
+def _curve(common, starts, base):
+    """The level of each row: medians of stretches of its series, drawn to the metric's level where they hold few
+    facts, averaged with their neighbours, and straight lines between; NaN where nothing is known."""
     out = np.full(len(common), np.nan)
     for a, b in zip(starts[:-1], starts[1:]):
-        part = common[a:b]
-        part = part[np.isfinite(part)]
-        if len(part):
-            out[a:b] = np.median(part)
+        cuts = np.linspace(a, b, max(1, (b - a) // KNOT) + 1).astype(int)
+        knots = np.full(len(cuts) - 1, np.nan)
+        for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
+            part = common[x:y]
+            part = part[np.isfinite(part)]
+            if len(part):
+                middle = np.median(part)
+                knots[i] = middle if np.isnan(base[a]) else (len(part) * middle + PRIOR_FACTS * base[a]) / (len(part) + PRIOR_FACTS)
+        held = np.flatnonzero(~np.isnan(knots))
+        if not len(held):
+            out[a:b] = base[a]
+            continue
+        level = knots[held]
+        if len(level) > 2:
+            level = np.convolve(np.concatenate([level[:1], level, level[-1:]]), (0.25, 0.5, 0.25), "valid")
+        out[a:b] = level[0] if len(level) == 1 else np.interp(np.arange(a, b), (cuts[held] + cuts[held + 1]) / 2, level)
     return out
 
 
@@ -247,7 +301,7 @@ def decode(e, blocks, spanning: bool):
 
 _OUT = StructType([
     StructField("fact_id", StringType()), StructField("metric", StringType()), StructField("source", StringType()), StructField("quantity", StringType()),
-    StructField("figure", DoubleType()), StructField("stated_size", DoubleType()), StructField("codes", StringType()), StructField("part", LongType()), StructField("edge", LongType()),
+    StructField("figure", DoubleType()), StructField("stated_size", DoubleType()), StructField("other_size", DoubleType()), StructField("codes", StringType()), StructField("part", LongType()), StructField("edge", LongType()),
     StructField("is_block", BooleanType()), StructField("scores", StringType()),
 ])
 
@@ -263,7 +317,8 @@ def _decode_partition(batches, carry: tuple[str, ...] = ()):
     number = {name: i for i, name in enumerate(QUANTITY_NAMES)}
     figure = table.column("value").to_numpy(zero_copy_only=False).astype(float)
     absent = np.asarray(table.column("value").is_null())
-    own, cross = (table.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("definition_size", "crosswalk_size"))
+    own, cross, base, spread = (table.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("definition_size", "crosswalk_size", "level", "spread"))
+    hidden = table.column("hidden").to_numpy(zero_copy_only=False).astype(bool)
     said = np.full(n, np.nan)
     for i, text in enumerate(table.column("json").to_pylist()):
         if text is not None:
@@ -272,15 +327,19 @@ def _decode_partition(batches, carry: tuple[str, ...] = ()):
                 said[i] = size
             if fig is not None and absent[i]:
                 figure[i] = fig
-    figure = np.where(np.isnan(figure), np.nan, figure)
     codes_q = np.array([number.get(q, len(QUANTITY_NAMES)) for q in quantity])
     change = [0] + [i for i in range(1, n) if metric[i] != metric[i - 1] or source[i] != source[i - 1]] + [n]
     blocks = [0]
     for a, b in zip(change[:-1], change[1:]):
         blocks.extend([*range(a + BLOCK, b, BLOCK), b])
     blocks = np.array(blocks)
-    base = table.column("level").to_numpy(zero_copy_only=False).astype(float) if "level" in table.column_names else None
-    e = _emissions(figure, codes_q, said, cross, own, blocks, base)
+    seen = [np.where(hidden, np.nan, x) for x in (said, cross, own)]
+    other = unnamed_sizes(codes_q, seen[1])
+    e = _emissions(figure, codes_q, seen, change, base, spread, other)
+    rarity = table.column("rarity").to_pylist()
+    for a in change[:-1]:
+        if rarity[a]:
+            e[a] -= [int(c) for c in rarity[a]]
     edge = np.zeros(n, dtype=np.int64)
     text = np.empty(n, dtype=object)
     summary = []
@@ -317,10 +376,10 @@ def _decode_partition(batches, carry: tuple[str, ...] = ()):
     stated = np.where(np.isnan(said), np.where(np.isnan(cross), own, cross), said)
     nulls = lambda x: pa.array(x, pa.float64(), from_pandas=True)
     yield from pa.table({
-        "fact_id": table.column("fact_id"), "metric": table.column("metric"), "source": table.column("source"), "quantity": table.column("quantity"), "figure": nulls(figure), "stated_size": nulls(stated),
+        "fact_id": table.column("fact_id"), "metric": table.column("metric"), "source": table.column("source"), "quantity": table.column("quantity"), "figure": nulls(figure), "stated_size": nulls(stated), "other_size": nulls(other),
         "codes": pa.array(text, pa.string()), "part": pa.array(np.full(n, part), pa.int64()), "edge": pa.array(edge), "is_block": pa.array(np.zeros(n, dtype=bool)), "scores": pa.nulls(n, pa.string()), **{c: table.column(c) for c in carry},
     }).to_batches(max_chunksize=20_000)
-    kinds = {"figure": pa.float64(), "stated_size": pa.float64(), "part": pa.int64(), "edge": pa.int64(), "is_block": pa.bool_()} | {c: table.schema.field(c).type for c in carry}
+    kinds = {"figure": pa.float64(), "stated_size": pa.float64(), "other_size": pa.float64(), "part": pa.int64(), "edge": pa.int64(), "is_block": pa.bool_()} | {c: table.schema.field(c).type for c in carry}
     schema = pa.schema([(name, kinds.get(name, pa.string())) for name in (*_OUT.names, *carry)])
     blocks = [{"metric": m, "source": s, "quantity": q, "part": p, "edge": w, "is_block": True, "scores": x} for m, s, q, p, w, x in summary]
     yield pa.RecordBatch.from_pylist(blocks, schema=schema)
@@ -351,28 +410,32 @@ def _chain(blocks: list) -> list[tuple[int, int, int]]:
     return out
 
 
-def common_units(facts: DataFrame, definitions: DataFrame, crosswalks: DataFrame, carry: dict[str, str] | None = None) -> DataFrame:
-    """fact_id, metric, source, quantity, figure, stated_size, decoded_size, size, common, and the carried columns.
+def common_units(facts: DataFrame, definitions: DataFrame, crosswalks: DataFrame, carry: dict[str, str] | None = None, hide: str | None = None) -> DataFrame:
+    """fact_id, metric, source, quantity, figure, stated_size, size, hidden, common, and the carried columns.
 
     figure: value_scalar, or where that is null the figure in value_json (null or NaN: none).
-    stated_size, decoded_size: the unit by the texts and by the model, in millionths of the
-    common unit; size: the stated one, else the decoded one; common: the figure in the common
-    unit.  One row per fact row (repeats stay).  A fact with no stated unit has a null size if
-    its metric is unknown, or has no readable unit anywhere.  Empty tables give no rows.  carry: new name -> SQL expression over the
-    facts, for columns that go along.
+    stated_size: the unit by the texts, size: the unit by the model, both in millionths of
+    the common unit; common: the figure in the common unit.  One row per fact row (repeats
+    stay).  A fact has a null size if its metric is unknown, or has no readable unit
+    anywhere.  Empty tables give no rows.  carry: new name -> SQL expression over the facts,
+    for columns that go along.  hide: SQL condition over the facts; what texts state about
+    the unit of such facts is withheld from the model, to measure it.
     """
     spark, carry = facts.sparkSession, carry or {}
     light = facts.select(
         F.col("metric_fact_id").alias("fact_id"), "ts", id_key("metric_definition_id").alias("metric"), ref_key("source_descriptor_id").alias("source"), F.col("value_scalar").cast("double").alias("value"),
-        F.when(F.length("value_json") > 6, F.col("value_json")).alias("json"), *[F.expr(e).alias(c) for c, e in carry.items()],
+        F.when(F.length("value_json") > 6, F.col("value_json")).alias("json"), F.coalesce(F.expr(hide or "false"), F.lit(False)).alias("hidden"), *[F.expr(e).alias(c) for c, e in carry.items()],
     )
-    by_metric, by_pair = scales(definitions, crosswalks, light.select("metric", "source", "value", "json"))
-    joined = light.join(by_metric, "metric", "left").join(by_pair, ["source", "metric"], "left")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-facts.count() // PARTITION_ROWS))
+    by_metric, by_pair = scales(definitions, crosswalks, light.filter("not hidden").select("metric", "source", "value", "json"))
+    habits, rows_n = _habits(light, by_metric, by_pair)
+    by_metric = by_metric.withColumnRenamed("level", "stated_level").join(habits, "metric", "left")
+    by_metric = by_metric.select("metric", "quantity", "definition_size", F.coalesce("stated_level", "level").alias("level"), "spread", "rarity")
+    joined = light.join(_pinned(by_metric), "metric", "left").join(by_pair, ["source", "metric"], "left")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows_n // PARTITION_ROWS))
     keys = ["metric", "source", "ts", "fact_id"]
     series = joined.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("ts")
-    path, names = fresh_path(spark, "units"), tuple(carry)
-    schema = StructType([*_OUT.fields, *[StructField(c, light.schema[c].dataType) for c in carry]])
+    path, names = fresh_path(spark, "units"), tuple(carry) + (("hidden",) if hide else ())
+    schema = StructType([*_OUT.fields, *[StructField(c, light.schema[c].dataType) for c in names]])
     series.mapInArrow(lambda batches: _decode_partition(batches, names), schema).write.partitionBy("is_block").parquet(path)
     held = spark.read.schema(schema).parquet(path)
     picks = _chain(held.filter("is_block").select("metric", "source", "part", "edge", "scores").collect())  # two rows per partition at most
@@ -380,10 +443,38 @@ def common_units(facts: DataFrame, definitions: DataFrame, crosswalks: DataFrame
     rows = held.filter("not is_block").join(picked, ["part", "edge"], "left")
     at = F.when(F.length("codes") == 1, F.lit(1)).otherwise(F.coalesce(F.col("pair"), F.lit(0)) + 1)
     state = F.substring(F.col("codes"), at, F.lit(1)).cast("int")
-    sizes = F.create_map(*[x for q in QUANTITY_NAMES for x in (F.lit(q), F.array(*[F.lit(float(v)) for v in STATES[q]]))])
-    decoded = F.when(F.col("quantity").isNotNull(), F.try_element_at(sizes[F.col("quantity")], state + 1))
-    size = F.coalesce("stated_size", decoded)
-    return rows.select("fact_id", "metric", "source", "quantity", "figure", "stated_size", decoded.alias("decoded_size"), size.alias("size"), (F.col("figure") * size / F.lit(COMMON)).alias("common"), *carry)
+    decoded = F.when(state == OTHER, F.col("other_size")).when(F.col("quantity").isNotNull(), F.try_element_at(_state_sizes()[F.col("quantity")], state + 1))
+    return rows.select("fact_id", "metric", "source", "quantity", "figure", "stated_size", decoded.alias("size"), (F.col("hidden") if hide else F.lit(False)).alias("hidden"), (F.col("figure") * decoded / F.lit(COMMON)).alias("common"), *carry)
+
+
+def _state_sizes():
+    """SQL map: quantity -> sizes of its states."""
+    return F.create_map(*[x for q in QUANTITY_NAMES for x in (F.lit(q), F.array(*[F.lit(float(v)) for v in STATES[q]]))])
+
+
+def _habits(light: DataFrame, by_metric: DataFrame, by_pair: DataFrame) -> tuple[DataFrame, int]:
+    """(metric, level, spread, rarity) and the number of all facts: one pass without Python.
+
+    level, spread: median and half the middle two thirds of the log10 figures, in millionths,
+    of the facts without value_json whose crosswalk or definition states a unit; the median
+    stands against sources that state a wrong one.  rarity: a digit per state, how many nats
+    its share of all stated units is below one (9: or more), the start of every series.
+    """
+    size = F.coalesce("crosswalk_size", "definition_size")
+    raw = F.abs("value")
+    counts = F.col("json").isNull() & ~F.col("hidden")
+    logs = F.when(counts & (raw > 0) & ~F.isnan(raw) & (raw < float("inf")), F.log10(raw) + F.log10(size))
+    found = light.join(by_metric.select("metric", "quantity", "definition_size"), "metric", "left").join(by_pair, ["source", "metric"], "left")
+    state = F.when(counts, F.array_position(F.try_element_at(_state_sizes(), F.col("quantity")), size))
+    rows = found.select("metric", logs.alias("logs"), state.alias("state")).groupBy("metric").agg(F.percentile_approx("logs", [0.16, 0.5, 0.84]).alias("p"), F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("state") == k + 1).alias(f"s{k}") for k in range(OTHER)])
+    held = rows.groupBy(F.when(F.col("p").isNotNull(), F.col("metric")).alias("metric")).agg(F.max("p").alias("p"), F.sum("n").alias("n"), *[F.max(f"s{k}").alias(f"s{k}") for k in range(OTHER)]).collect()  # metrics with a readable unit
+    kept = []
+    for r in held:
+        if r["metric"] is not None and r["p"] is not None:
+            seen = np.array([r[f"s{k}"] for k in range(OTHER)] + [0]) + 0.5
+            rarity = "".join(str(min(9, round(-math.log(x)))) for x in seen / seen.sum())
+            kept.append((r["metric"], float(r["p"][1]), float(r["p"][2] - r["p"][0]) / 2, rarity))
+    return F.broadcast(light.sparkSession.createDataFrame(kept, "metric string, level double, spread double, rarity string")), sum(r["n"] for r in held)
 
 
 def recorded_elsewhere(facts: DataFrame, definitions: DataFrame, crosswalks: DataFrame) -> DataFrame:

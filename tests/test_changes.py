@@ -1,6 +1,8 @@
 import datetime as dt
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import changes
@@ -60,17 +62,78 @@ def test_batches_in_any_order_and_repeated(spark):
     assert got(table.state()) == brute(rows)
 
 
-def test_untouched_buckets_keep_their_files_and_old_manifests_stay(spark):
+def table_of(spark, path, buckets=16, hot_rows=changes.HOT_ROWS):
+    return changes.BucketedTable(spark, path, "event_id", "seq", "ingest_time", "_action", ["label"], buckets, hot_rows)
+
+
+def batch(spark, rows):
+    return spark.createDataFrame(rows, DDL).withColumn("_action", changes.change_action(F.col("kind")))
+
+
+def size_of(path):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet"))
+
+
+def test_a_small_batch_rewrites_its_buckets_only_and_old_manifests_stay(spark):
     path = fresh_path(spark, "t")
-    table = changes.BucketedTable(spark, path, "event_id", "seq", "ingest_time", "_action", ["label"], 16)
-    rows = [(f"k{i}", 1, "node", "a", "", "", None, None, dt.datetime(2025, 1, 1)) for i in range(40)]
-    first = table.apply(spark.createDataFrame(rows, DDL).withColumn("_action", changes.change_action(F.col("kind"))))
-    gone = [("k3", 2, "node_delete", "a", "", "", None, None, dt.datetime(2025, 1, 2))]
-    second = table.apply(spark.createDataFrame(gone, DDL).withColumn("_action", changes.change_action(F.col("kind"))))
+    table = table_of(spark, path, 64)
+    rows = [(f"k{i}", 1, "node", "a" * 20, "", "", None, None, dt.datetime(2025, 1, 1)) for i in range(4000)]
+    first = table.apply(batch(spark, rows))
+    before = size_of(path)
+    second = table.apply(batch(spark, [("k3", 2, "node_delete", "a", "", "", None, None, dt.datetime(2025, 1, 2))]))
     moved = [b for b in first["gen"] if second["gen"][b] != first["gen"][b]]
     assert len(moved) == 1 and second["version"] == 2
-    assert len(files.list_names(spark, f"{path}/log/gen=2")) - len([n for n in files.list_names(spark, f"{path}/log/gen=2") if n.startswith(("_SUCCESS", "."))]) == 1
-    assert "k3" not in got(table.state()) and "k3" in got(table.state(version=1)) and len(got(table.state())) == 39
+    assert size_of(path) - before < 2.5 * before / 64  # one bucket of 64
+    assert "k3" not in got(table.state()) and "k3" in got(table.state(version=1)) and len(got(table.state())) == 3999
+    assert table.vacuum() == 0 and table.apply(batch(spark, rows[:1]))["version"] == 3 and table.vacuum(1) == 0  # files of gen 1 hold other buckets still
+
+
+def test_of_two_writers_from_one_version_the_second_fails_and_nothing_is_lost(spark):
+    path = fresh_path(spark, "t")
+    one = table_of(spark, path)
+    t = dt.datetime(2025, 1, 1)
+    one.apply(batch(spark, [(f"k{i}", 1, "node", "", "", "", None, None, t) for i in range(40)]))
+    other, seen = table_of(spark, path), one.manifest()
+    one.apply(batch(spark, [(f"n{i}", 1, "node", "", "", "", None, None, t) for i in range(3)]), seen)
+    with pytest.raises(OSError, match="another writer"):
+        other.apply(batch(spark, [(f"x{i}", 1, "node", "", "", "", None, None, t) for i in range(5)]), seen)
+    assert sorted(got(one.state())) == sorted([f"k{i}" for i in range(40)] + ["n0", "n1", "n2"])
+    other.apply(batch(spark, [(f"x{i}", 1, "node", "", "", "", None, None, t) for i in range(5)]))
+    assert len(got(one.state())) == 48 and not [n for n in files.list_names(spark, f"{path}/_manifests") if n.endswith(".tmp")]
+
+
+def test_hot_buckets_give_the_same_as_others(spark):
+    rows = feed(5, 900)
+    rows += [r for r in rows if r[0] == "hot"] * 3
+    for hot_rows in (10, 10**9):
+        table = table_of(spark, fresh_path(spark, "t"), 8, hot_rows)
+        for i in (1, 0, 2):
+            made = table.apply(batch(spark, rows[i::3]))
+        assert got(table.state()) == brute(rows) and bool(made["hot"]) == (hot_rows == 10)
+
+
+def test_compaction_keeps_the_state_and_sets_late_changes_aside(spark):
+    rows = feed(9, 800)
+    early, later = [r for r in rows if r[1] is None or r[1] <= 30], [r for r in rows if r[1] is not None and r[1] > 30]
+    table = table_of(spark, fresh_path(spark, "t"), 8)
+    table.apply(batch(spark, early))
+    before = table._read(table.manifest()).count()
+    folded = table.compact(30)
+    assert table._read(folded).count() < before / 4 and got(table.state()) == brute(early)
+    table.apply(batch(spark, later))
+    assert got(table.state()) == brute(rows)
+    made = table.apply(batch(spark, [("k1", 12, "node", "late", "", "", None, None, dt.datetime(2026, 1, 1))]))
+    assert len(made["late"]) == 1 and spark.read.parquet(f"{table.path}/late/gen={made['late'][0]}").count() == 1
+    assert got(table.state()) == brute(rows)
+
+
+def test_the_feed_goes_through_a_base_and_two_batches(spark):
+    rows = feed(11, 500)
+    path = fresh_path(spark, "t")
+    assert got(changes.apply_feed(spark, spark.createDataFrame(rows, DDL), path, 32, hot_rows=50)) == brute(rows)
+    names = files.list_names(spark, f"{path}/_manifests")
+    gens = [files.read_json(spark, f"{path}/_manifests/{n}")["gen"] for n in names if n.endswith(".json")]
+    assert len(gens) == 3 and len(set(gens[2].values())) >= 3  # files of all three stand side by side
 
 
 def test_empty_feed_null_keys_unknown_kinds_and_clashing_columns(spark):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -24,14 +26,36 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(make(path))) if fs.exists(make(path)) else []
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder with all that is in it, if it is there."""
+    fs, make = _fs(spark, path)
+    fs.delete(make(path), True)
+
+
 def commit_json(spark: SparkSession, path: str, content: dict) -> None:
-    """Write a JSON file under a temporary name, then rename it: readers see all of it or nothing."""
+    """Write a JSON file under a name of its own, then give it its final name, unless that is taken: readers see all of it or nothing.
+
+    Of two writers of one name exactly one succeeds, the other gets an error: on local files by
+    a hard link, elsewhere by a rename that doesn't replace, which is atomic on HDFS.  An object
+    store without such a rename needs a store of its own for the manifests.
+    """
     fs, make = _fs(spark, path)
-    out = fs.create(make(f"{path}.tmp"), True)
+    draft = f"{path}.{uuid.uuid4().hex}.tmp"
+    out = fs.create(make(draft), False)
     out.write(bytearray(json.dumps(content).encode()))
     out.close()
-    if fs.exists(make(path)) or not fs.rename(make(f"{path}.tmp"), make(path)):
-        raise OSError(f"cannot commit {path}: another writer was first")
+    try:
+        if fs.getScheme() == "file":
+            plain = [make(p).toUri().getPath() for p in (draft, path)]
+            os.link(*plain)
+        else:
+            context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(make(path).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+            nothing = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            context.rename(make(draft), make(path), nothing)
+    except Exception as error:
+        raise OSError(f"cannot commit {path}: another writer was first") from error
+    finally:
+        fs.delete(make(draft), False)
 
 
 def read_json(spark: SparkSession, path: str) -> dict:

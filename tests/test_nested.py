@@ -106,15 +106,31 @@ def test_bad_null_empty_and_long_bodies(spark):
 def test_plan_and_round_trip(spark):
     body = json.dumps({"id": 1, "name": {"first": "A", "last": "B"}, "tags": ["x", "y"], "home": {"city": "C"}, "work": {"city": "D", "boss": {"name": {"first": "E"}}}, "kids": [{"n": 1}, {"n": 2}]})
     df = spark.createDataFrame([(1, body)], "record_id bigint, body string")
-    plan = nested.plan_of(df)
+    flat = nested.flatten(df)
+    plan = flat.plan
     assert plan.reasons["tags"] == plan.reasons["kids"] == "repeated" and plan.reasons["name"] == "shared" and "home" not in plan.tables
-    rows = {r.row_no: r for r in nested.shred(df, plan).collect()}
+    rows = {r.row_no: r for r in flat.rows.collect()}
     root = rows[0]
     assert root.columns["home.city"] == "C" and root.columns["work.city"] == "D" and root.columns["id"] == "1"
     by = sorted((r.table_name, r.parent_row, r.ordinal, tuple(sorted(r.columns.items()))) for r in rows.values() if r.row_no)
     assert by == [("kids", 0, 0, (("n", "1"),)), ("kids", 0, 1, (("n", "2"),)), ("name", 0, 0, (("first", "A"), ("last", "B"))), ("name", 0, 0, (("first", "E"),)), ("tags", 0, 0, (("value", "x"),)), ("tags", 0, 1, (("value", "y"),))]
 
 
+    home = flat.table("record").collect()[0]
+    assert home.id == 1 and home.home__city == "C" and dict(flat.table("record").dtypes)["id"] == "bigint"
+
+
+def test_a_wrong_guess_is_put_right_by_the_whole_schema(spark, monkeypatch):
+    """The first bodies show one kid each; only a later one shows that kids repeat."""
+    monkeypatch.setattr(nested, "GUESS_ROWS", 2)
+    bodies = [json.dumps({"id": i, "kid": {"n": i, "age": 1.5}}) for i in range(6)] + [json.dumps({"id": 9, "kid": [{"n": 7}, {"n": "8"}]})]
+    df = spark.createDataFrame(list(enumerate(bodies)) + [(0, bodies[0])], "record_id bigint, body string").coalesce(1)
+    flat = nested.flatten(df)
+    assert flat.plan.reasons == {"kid": "repeated"}
+    kids = flat.table("kid")
+    assert kids.count() == 8 and dict(kids.dtypes)["n"] == "string" and dict(kids.dtypes)["age"] == "double" and {r.parent_table for r in kids.collect()} == {"record"}
+
+
 def test_recursive_elements_get_a_table():
     edges = [("record", "node", 1, 1, 1), ("node", "left", 1, 1, 1), ("left", "node", 1, 1, 1)]
     assert nested.inline_plan([("record", "a", 1, 1, 1), ("a", "b", 1, 1, 1), ("b", "a", 1, 1, 1)]).reasons == {"a": "shared", "b": "recursive"}

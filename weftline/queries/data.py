@@ -37,13 +37,51 @@ def p3_found(spark, d):
 
 def p3_tables(spark, d):
     """Rows of every flat table that the schema graph calls for, each received record counted once."""
-    bodies = load(spark, d, "fired_records")
-    plan = nested.plan_of(bodies, nested.FIRED_LINKS)
-    rows = nested.shred(bodies, plan, nested.FIRED_LINKS)
+    rows = nested.flatten(load(spark, d, "fired_records"), nested.FIRED_LINKS, with_columns=False).rows
     once = rows.select("record_id", "body_id", "row_no", "table_name", "parent_table").distinct()
     return once.groupBy("table_name", "parent_table").agg(F.count(F.lit(1)).alias("row_count"), F.countDistinct("record_id").alias("record_count"))
 
 
+def p3_actions(spark, d):
+    """The typed table of actions, as commands per target."""
+    held = nested.flatten(load(spark, d, "fired_records"), nested.FIRED_LINKS, only=("actions",)).table("actions")
+    return held.groupBy("command", "target_node_id").agg(F.count(F.lit(1)).alias("action_count"), F.countDistinct("record_id").alias("record_count"))
+
+
+def _snake(k):
+    return rf"trim(lower(regexp_replace(regexp_replace({k}, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[^0-9A-Za-z]+', '_', 'g')), '_')"
+
+
+def _plain(v, name):
+    """SQL: the text of a field of a JSON object, whatever its style of names; null for objects, lists and logical values."""
+    held = f"""[json_extract({v}, '$."' || k || '"') for k in json_keys({v}) if {_snake("k")} = '{name}'][1]"""
+    return f"CASE WHEN json_type({held}) IN ('VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE') THEN json_extract_string({held}, '$') END"
+
+
+#: Every object and value of every body with its holder (p), the holder's holder (pp) and the id of the nearest enclosing action (in a list, which is null outside actions).
+_P3 = rf"""
+WITH RECURSIVE bodies AS (SELECT DISTINCT record_id, body FROM fired_records WHERE json_valid(body)),
+nodes AS (
+  SELECT record_id, 'record' AS name, body::JSON AS v, '{{}}'::JSON AS p, '{{}}'::JSON AS pp, NULL::VARCHAR[] AS act FROM bodies
+  UNION ALL
+  SELECT record_id, name, CASE WHEN json_type(w) = 'VARCHAR' AND regexp_matches(w->>'$', '^\s*[{{\[]') AND json_valid(w->>'$') THEN (w->>'$')::JSON ELSE w END AS v, p, pp, act
+  FROM (
+    SELECT n.record_id, n.name, unnest(n.v::JSON[]) AS w, n.p, n.pp, n.act FROM nodes n WHERE json_type(n.v) = 'ARRAY'
+    UNION ALL
+    SELECT record_id, {_snake("k")}, json_extract(v, '$."' || k || '"'), v, p, CASE WHEN name = 'actions' THEN [{_plain("v", "action_id")}] ELSE act END
+    FROM (SELECT n.*, unnest(json_keys(n.v)) AS k FROM nodes n WHERE json_type(n.v) = 'OBJECT'))
+  WHERE json_type(w) <> 'NULL')
+"""
+P3_SQL = _P3 + f"""
+SELECT DISTINCT * FROM (
+  SELECT record_id, 'action' AS link, CASE WHEN act IS NULL THEN {_plain("p", "routine_id")} ELSE act[1] END AS parent_id, {_plain("v", "action_id")} AS child_id FROM nodes WHERE name = 'actions' AND json_type(v) = 'OBJECT'
+  UNION ALL SELECT record_id, 'policy_ref', {_plain("pp", "decision_id")}, json_extract_string(v, '$') FROM nodes WHERE name = 'policy_refs' AND json_type(v) IN ('VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE')
+  UNION ALL SELECT record_id, 'strategy', {_plain("p", "profile_id")}, {_plain("v", "strategy")} FROM nodes WHERE name = 'declarative_updates' AND json_type(v) = 'OBJECT')
+WHERE parent_id IS NOT NULL AND child_id IS NOT NULL"""
+P3_ACTIONS_SQL = _P3 + f"""
+SELECT command, target_node_id, count(*) AS action_count, count(DISTINCT record_id) AS record_count FROM (
+  SELECT record_id, {_plain("v", "command")} AS command, {_plain("v", "target_node_id")} AS target_node_id FROM nodes WHERE name = 'actions' AND json_type(v) = 'OBJECT') GROUP BY ALL"""
+
 TARGETS = {"run_id": "eval_runs", "context_slice_id": "context_slices", "source_descriptor_id": "source_descriptors"}
 
 
@@ -81,8 +119,9 @@ SELECT CASE ref_field WHEN 'run_id' THEN 'eval_runs' WHEN 'context_slice_id' THE
 
 QUERIES = {
     "p1_found": (p1_found, P1_SQL),
-    "p3_found": (p3_found, None),
+    "p3_found": (p3_found, P3_SQL),
     "p3_tables": (p3_tables, None),
+    "p3_actions": (p3_actions, P3_ACTIONS_SQL),
     "p6_found": (p6_found, P6_SQL),
     "p6_report": (p6_report, P6_REPORT_SQL),
 }

@@ -69,7 +69,7 @@ def test_automaton_finds_every_shared_run():
     a = leaks.Automaton(items)
     doc = [rng.choice("abcd") for _ in range(300)]
     got = {(at, k, p) for at, held in a.seeds(doc) for k, p in held}
-    want = {(at, k, p) for at in range(5, 300) for k, (_, item) in enumerate(items) for p in range(5, 40) if doc[at - 5 : at + 1] == item[p - 5 : p + 1]}
+    want = {(at, k, p) for at in range(3, 300) for k, (_, item) in enumerate(items) for p in range(3, 40) if doc[at - 3 : at + 1] == item[p - 3 : p + 1]}
     assert got == want
 
 
@@ -119,3 +119,61 @@ def test_removal_cuts_every_span_and_nothing_else(spark):
     got = {r.doc_id: r for r in leaks.remove_leaks(docs, items).collect()}
     assert got[1].spans == 2 and words(got[1].clean) == words(head + middle + tail) and got[1].clean.startswith(head)
     assert got[2].clean == head and got[2].spans == 0 and got[3].clean is None and got[3].share == 1.0 and got[4].clean is None and got[5].clean == ""
+
+
+def test_the_longest_passage_counts_not_the_first():
+    rng = random.Random(3)
+    item = sentence(rng, 120)
+    doc = sentence(rng, 10) + item[10:32] + sentence(rng, 30) + item[40:105] + sentence(rng, 10)
+    (found,) = leaks.leaks_in([leaks.Automaton([(1, item)])], doc)
+    assert found[1] >= 65 and found[3] >= 50 and found[4] >= 127  # with edits it may reach on into words alike by chance
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_long_passages_with_edits_in_clusters_are_found_whole(seed):
+    """60 to 300 words, all the edits allowed in one or two clusters, a word split here and there."""
+    rng = random.Random(seed)
+    item = [f"u{i}n{rng.randrange(9)}" for i in range(300)]
+    n = rng.randrange(60, 301)
+    start = rng.randrange(0, 301 - n)
+    part, most = item[start : start + n], n // 8
+    at = rng.randrange(10, n - 10)
+    out = list(part)
+    for k in range(most):  # every second word about one place, or about two
+        where = (at + 2 * k) % (n - 2) + 1
+        out[where] = "other"
+    edits = sum(a != b for a, b in zip(out, part))
+    doc = sentence(rng, 12) + out + sentence(rng, 12)
+    (found,) = leaks.leaks_in([leaks.Automaton([(1, item)])], doc)
+    assert found[1] >= n - 1 and found[2] <= edits
+
+
+def test_a_split_word_besides_two_edits_hides_nothing():
+    item = [f"word{i:02d}x" for i in range(20)]
+    hidden = 0
+    for a in range(2, 18):
+        for b in range(a + 1, 18):
+            for cut in range(1, 19):
+                if cut in (a, b):
+                    continue
+                doc = [w for i, w in enumerate(item) for w in (("other",) if i in (a, b) else (w[:3], w[3:]) if i == cut else (w,))]
+                hidden += not leaks.leaks_in([_one(item)], ["before"] + doc + ["after"])
+    assert hidden == 0
+
+
+_held = {}
+
+
+def _one(item):
+    key = tuple(item)
+    if key not in _held:
+        _held[key] = leaks.Automaton([(1, item)])
+    return _held[key]
+
+
+def test_blocks_of_items_change_nothing(spark, sf):
+    docs, items = load(spark, sf, "documents", "eval_items")
+    one, many = ({tuple(r) for r in leaks.find_leaks(docs, items, block_chars=size).collect()} for size in (10**7, 20_000))
+    assert one == many and one
+    cut = [{(r.doc_id, r.clean, r.spans) for r in leaks.remove_leaks(docs.limit(400), items, block_chars=size).collect()} for size in (10**7, 60_000)]
+    assert {(d, c) for d, c, _ in cut[0]} == {(d, c) for d, c, _ in cut[1]}

@@ -4,24 +4,37 @@ The automaton holds every run of words of every item.  The words of a document a
 through it, tracking the longest run that ends at each word.  Where that run has ``SEED``
 words or more, the items that hold it are known, and an exact check follows: the run is
 extended to both sides with edits, for a passage of at least ``LEAST`` words of the item of
-which at most one in ``ONE_IN`` is changed, dropped or added.  A passage of that kind always
-holds an unbroken run of ``SEED`` words, so no passage is missed for the seed.
-
-The items are broadcast: their words are counted, and if they are more than ``BLOCK_WORDS``
-they go through several automata one after the other.  Documents are never shuffled.
+which at most one in ``ONE_IN`` is changed, dropped or added.
+
+Why no passage is missed for the seed: cut a passage into pieces of ``LEAST`` to 2 ``LEAST`` - 1
+words.  One of them has no more edits for its length than the whole, so at most 4, and is a
+passage itself.  Its words without edits stand in at most 5 runs, the longest of which has 6
+words or more, or 4 if a word of the piece is written as two or two as one besides (which is
+no edit but ends a run).  From that run the piece is found with ``FIRST_EDITS`` edits; a run
+from which nothing is found with so many is given up, and from the others the whole passage
+is found with all the edits its item allows.
+
+The items are counted first.  Those that fit one automaton are broadcast; more go in blocks,
+one pass over the documents each, and a worker holds one automaton at a time.  Documents are
+never shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.words import words
+from weftline.session import materialize
 
-LEAST, ONE_IN, SEED = 20, 8, 6
-#: Words of items in one automaton; some 200 bytes each in a worker.
-BLOCK_WORDS = 1_000_000
+LEAST, ONE_IN, SEED = 20, 8, 4
+#: Edits within which a piece of a passage is found from its longest run.
+FIRST_EDITS = (2 * LEAST - 1) // ONE_IN
+#: Characters of items in one automaton; some 40 bytes each in a worker.
+BLOCK_CHARS = 6_000_000
 
 
 class Automaton:
@@ -158,21 +171,20 @@ def _reach(doc: list[str], item: list[str], i: int, j: int, step: int, most: int
 def passage(doc: list[str], item: list[str], i: int, j: int, seed: int = SEED, least: int = LEAST, one_in: int = ONE_IN) -> tuple[int, int, int, int] | None:
     """(words, edits, start, end) of the longest passage around the run that ends at doc[i] and item[j]; None if none is long enough.
 
-    The edits allowed grow with the length, so both sides are tried with few edits first and
-    given up once even the best split falls short by more than a further run could make good.
+    The edits allowed grow with the length, so both sides are tried with ``FIRST_EDITS`` edits
+    first and given up if that gives no passage (see the module's text), then with more.
     """
-    most, top = min(3, len(item) // one_in), len(item) // one_in
+    top = len(item) // one_in
+    most = min((2 * least - 1) // one_in, top)
     while True:
         right, left = _reach(doc, item, i + 1, j + 1, 1, most), _reach(doc, item, i - seed, j - seed, -1, most)
-        found, worth = None, -(10**9)
+        found = None
         for e in range(most + 1):
             for k in range(e + 1):
                 n = seed + left[k][0] + right[e - k][0]
                 if n >= least and one_in * e <= n and (found is None or n > found[0]):
                     found = (n, e, i - seed + 1 - left[k][1], i + 1 + right[e - k][1])
-                if e >= most - 1:
-                    worth = max(worth, n - one_in * e)
-        if most >= top or (found is None and worth < -3 * one_in):
+        if found is None or most >= top:
             return found
         most = min(top, most * 2)
 
@@ -180,7 +192,8 @@ def passage(doc: list[str], item: list[str], i: int, j: int, seed: int = SEED, l
 def leaks_in(automata: list[Automaton], text: list[str], least: int = LEAST, one_in: int = ONE_IN, every: bool = False) -> list[tuple]:
     """(item id, words, edits, start, end) of the items that a document leaks; start and end count its words.
 
-    One passage per item, or with ``every`` all that don't lie within another of the item.
+    The longest passage of each item (of equal ones that of fewest edits, then the first), or with
+    ``every`` one for every run that doesn't lie within a passage of the item found before.
     """
     out = []
     if len(text) < least - least // one_in:
@@ -196,22 +209,25 @@ def leaks_in(automata: list[Automaton], text: list[str], least: int = LEAST, one
                 else:
                     known[-1][2] = at
         spans: dict[int, list] = {}
-        bags: dict[int, set] = {}
+        best: dict[int, tuple] = {}
         for (number, _), runs in starts.items():
             item = automaton.items[number]
             if len(item) < least:
                 continue
             for at, pos, _ in runs:
-                held = spans.setdefault(number, [])
-                if held and not every or any(a <= at < b for a, b in held):
-                    continue
-                bag = bags.setdefault(number, set(item))
-                if sum(w in bag for w in text[max(0, at - 36) : at + 32]) < least - least // one_in - 4:
+                if every and any(a <= at < b for a, b in spans.get(number, ())):
                     continue
                 found = passage(text, item, at, pos, automaton.seed, least, one_in)
-                if found:
-                    held.append(found[2:])
+                if not found:
+                    continue
+                if every:
+                    spans.setdefault(number, []).append(found[2:])
                     out.append((automaton.ids[number], *found))
+                else:
+                    known = best.get(number)
+                    if known is None or (-found[0], found[1], found[2]) < (-known[0], known[1], known[2]):
+                        best[number] = found
+        out += [(automaton.ids[number], *found) for number, found in best.items()]
     return out
 
 
@@ -231,22 +247,20 @@ def word_offset(text: str, count: int) -> int:
     return low
 
 
-def without_leaks(text: str, automata: list[Automaton], least: int = LEAST, one_in: int = ONE_IN, coverage: float = 0.5) -> tuple[str | None, int, float]:
-    """(clean text, spans cut, share of words that leaked): every leaking span cut out of the text as written.
+def without_spans(text: str, spans: list[tuple[int, int]], coverage: float = 0.5) -> tuple[str | None, int, float]:
+    """(clean text, spans cut, share of words cut): the spans, in words, cut out of the text as written.
 
-    A text of which more than ``coverage`` leaks is no text any more: None.
+    A text of which more than ``coverage`` goes is no text any more: None.
     """
-    split = words(text)
-    spans = sorted((s[3], s[4]) for s in leaks_in(automata, split, least, one_in, True))
     merged: list[list[int]] = []
-    for a, b in spans:
+    for a, b in sorted(spans):
         if merged and a <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], b)
         else:
             merged.append([a, b])
     if not merged:
         return text, 0, 0.0
-    share = sum(b - a for a, b in merged) / len(split)
+    share = sum(b - a for a, b in merged) / len(words(text))
     if share > coverage:
         return None, len(merged), share
     parts, at = [], 0
@@ -259,70 +273,90 @@ def without_leaks(text: str, automata: list[Automaton], least: int = LEAST, one_
 _built: dict[int, list[Automaton]] = {}
 
 
-def _shared(documents: DataFrame, items: DataFrame, item_id: str, item_text: str, least: int):
-    """A function that gives a worker its automata, built once from the broadcast items (a fixed test set)."""
-    held = [(r[0], r[1]) for r in items.select(item_id, item_text).filter(F.col(item_text).isNotNull()).distinct().orderBy(item_id, item_text).collect()]
-    shared = documents.sparkSession.sparkContext.broadcast(held)
-
-    def automata() -> list[Automaton]:
-        key = hash((least, *shared.value))
-        if key not in _built:
-            _built.clear()
-            blocks, size = [[]], 0
-            for number, content in shared.value:
-                split = words(content)
-                if len(split) < least:
-                    continue
-                if size + len(split) > BLOCK_WORDS:
-                    blocks.append([])
-                    size = 0
-                blocks[-1].append((number, split))
-                size += len(split)
-            _built[key] = [Automaton(b) for b in blocks if b]
-        return _built[key]
+def _blocks(documents: DataFrame, items: DataFrame, item_id: str, item_text: str, least: int, block_chars: int) -> list:
+    """Per block of items a function that gives a worker its automaton, built once from the broadcast block.
 
-    return automata
+    The items' characters are counted first; each block is collected and broadcast by itself.
+    """
+    spark = documents.sparkSession
+    known = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter(F.col("t").isNotNull()).distinct()
+    chars = known.agg(F.sum(F.length("t"))).first()[0] or 0
+    n = max(1, -(-chars // block_chars))
+    out = []
+    for block in range(n):
+        part = known if n == 1 else known.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == block)
+        shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in part.orderBy("i", "t").collect()])  # about block_chars characters
+
+        def automata(shared=shared) -> list[Automaton]:
+            key = hash((least, *shared.value))
+            if key not in _built:
+                _built.clear()
+                held = [(number, split) for number, content in shared.value if len(split := words(content)) >= least]
+                _built[key] = [Automaton(held)] if held else []
+            return _built[key]
+
+        out.append(automata)
+    return out
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", least: int = LEAST, one_in: int = ONE_IN) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", least: int = LEAST, one_in: int = ONE_IN, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, n_words, n_edits: each document and item of which it holds a passage.
 
-    n_words counts the item's words in the longest passage found, n_edits its changes.  Null
-    and blank texts and items of fewer than ``least`` words leak nothing.  Whole texts are
-    read, however long.  A repeated row of either table gives no second row of a pair.
+    n_words counts the item's words in the longest passage, n_edits its changes.  Null and
+    blank texts and items of fewer than ``least`` words leak nothing.  Whole texts are read,
+    however long.  A repeated row of either table gives no second row of a pair.
     """
     kind, item_kind = documents.schema[doc_id].dataType, items.schema[item_id].dataType
-    automata = _shared(documents, items, item_id, item_text, least)
+    source = documents.select(F.col(doc_id), F.col(text).cast("string").alias("_text"))
 
-    def run(batches):
-        built = automata()
-        for batch in batches:
-            out = [(d, *found[:3]) for d, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if content for found in leaks_in(built, words(content), least, one_in)]
-            cols = list(zip(*out)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema[0].type), pa.array(cols[1], _arrow(item_kind)), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["d", "i", "n_words", "n_edits"])
+    def pairs_of(automata) -> DataFrame:
+        def run(batches):
+            built = automata()
+            for batch in batches:
+                out = [(d, *found[:3]) for d, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if content for found in leaks_in(built, words(content), least, one_in)]
+                cols = list(zip(*out)) if out else [[], [], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema[0].type), pa.array(cols[1], _arrow(item_kind)), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["d", "i", "n_words", "n_edits"])
 
-    source = documents.select(F.col(doc_id), F.col(text).cast("string").alias("_text"))
-    pairs = source.mapInArrow(run, f"d {kind.simpleString()}, i {item_kind.simpleString()}, n_words int, n_edits int")
+        return source.mapInArrow(run, f"d {kind.simpleString()}, i {item_kind.simpleString()}, n_words int, n_edits int")
+
+    pairs = reduce(DataFrame.unionByName, [pairs_of(automata) for automata in _blocks(documents, items, item_id, item_text, least, block_chars)])
     best = F.max(F.struct(F.col("n_words"), (-F.col("n_edits")).alias("e")))
     return pairs.groupBy(F.col("d").alias(doc_id), F.col("i").alias(item_id)).agg(best.alias("b")).select(doc_id, item_id, F.col("b.n_words").alias("n_words"), (-F.col("b.e")).alias("n_edits"))
 
 
-def remove_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", least: int = LEAST, one_in: int = ONE_IN, coverage: float = 0.5) -> DataFrame:
+def remove_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "item_text", least: int = LEAST, one_in: int = ONE_IN, coverage: float = 0.5, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, clean, spans, share: the documents with leaking spans cut out; clean is null where more than ``coverage`` of the words leak.
 
-    One row per row; a text without leaks is as it was, a null text stays null.
+    One row per row; a text without leaks is as it was, a null text stays null.  Spans of all
+    blocks of items are marked on the text as it came, then cut together.
     """
     kind = documents.schema[doc_id].dataType.simpleString()
-    automata = _shared(documents, items, item_id, item_text, least)
-
-    def run(batches):
-        built = automata()
+    held = documents.select(F.col(doc_id).alias("d"), F.col(text).cast("string").alias("t"), F.array().cast("array<int>").alias("s"))
+    schema = f"d {kind}, t string, s array<int>"
+
+    def marked(frame: DataFrame, automata) -> DataFrame:
+        def run(batches):
+            built = automata()
+            for batch in batches:
+                more = [[x for found in leaks_in(built, words(t), least, one_in, True) for x in found[3:5]] if t else [] for t in batch.column(1).to_pylist()]
+                spans = [known + new for known, new in zip(batch.column(2).to_pylist(), more)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int32()))], names=["d", "t", "s"])
+
+        return frame.mapInArrow(run, schema)
+
+    blocks = _blocks(documents, items, item_id, item_text, least, block_chars)
+    for number, automata in enumerate(blocks):
+        held = marked(held, automata)
+        if number + 1 < len(blocks):
+            held = materialize(held, "leaks")  # a worker holds one automaton at a time
+
+    def cut(batches):
         for batch in batches:
-            out = [without_leaks(t, built, least, one_in, coverage) if t else (t, 0, 0.0) for t in batch.column(1).to_pylist()]
+            out = [without_spans(t, list(zip(s[::2], s[1::2])), coverage) if t else (t, 0, 0.0) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             clean, spans, share = zip(*out) if out else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(clean, pa.string()), pa.array(spans, pa.int32()), pa.array(share, pa.float64())], names=[doc_id, "clean", "spans", "share"])
 
-    return documents.select(F.col(doc_id), F.col(text).cast("string").alias("_text")).mapInArrow(run, f"{doc_id} {kind}, clean string, spans int, share double")
+    return held.mapInArrow(cut, f"{doc_id} {kind}, clean string, spans int, share double")
 
 
 def _arrow(kind) -> pa.DataType:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from weftline.functions.refs import id_key
 from weftline.llm import encoding, leaks, percentiles, subjects, topn
 from weftline.session import load
 
@@ -78,4 +82,19 @@ WITH once AS (
 SELECT m AS metric_definition_id, month, count(latency) AS n FROM once WHERE latency IS NOT NULL GROUP BY m, month
 """
 
-QUERIES |= {"p5_percentiles": (p5_percentiles, None), "p5_latency_counts": (p5_latency_counts, P5_COUNTS_SQL)}
+def p5_bound(spark, d):
+    """Per metric the models and values of latency_ms_p50, and whether 99 % of all sketch answers lie within the stated bound of the exact ranks."""
+    facts = load(spark, d, "metric_facts")
+    once = facts.groupBy("metric_fact_id").agg(F.max(F.struct(id_key("metric_definition_id").alias("m"), id_key("model_release_id").alias("r"), F.when(~F.isnan("latency_ms_p50"), F.col("latency_ms_p50")).alias("v"))).alias("f"))
+    found = percentiles.answers_within_bound(once.select("f.m", "f.r", "f.v"), ["m", "r"], "v")
+    held = found.groupBy(F.col("m").alias("metric_definition_id")).agg(F.count(F.lit(1)).alias("model_count"), F.sum("n").alias("value_count"), F.sum("asked").alias("asked"), F.sum("within").alias("within"))
+    every = Window.partitionBy(F.lit(1))  # one row per metric
+    return held.select("metric_definition_id", "model_count", "value_count", (F.sum("within").over(every) >= 0.99 * F.sum("asked").over(every)).alias("within_bound"))
+
+
+P5_BOUND_SQL = """
+WITH once AS (
+  SELECT metric_fact_id, max({'m': lower(trim(metric_definition_id)), 'r': lower(trim(model_release_id)), 'v': CASE WHEN NOT isnan(latency_ms_p50) THEN latency_ms_p50 END}) AS f FROM metric_facts GROUP BY 1)
+SELECT f.m AS metric_definition_id, count(DISTINCT coalesce(f.r, '')) AS model_count, count(*) AS value_count, true AS within_bound FROM once WHERE f.v IS NOT NULL GROUP BY 1"""
+
+QUERIES |= {"p5_bound": (p5_bound, P5_BOUND_SQL), "p5_percentiles": (p5_percentiles, None), "p5_latency_counts": (p5_latency_counts, P5_COUNTS_SQL)}

@@ -58,3 +58,14 @@ def test_report_counts_each_fact_once(spark):
     targets = spark.createDataFrame([("y", T(5), None)], TARGET)
     got = orphans.orphan_report(facts, {"run_id": (targets, "run_id")}, {"run_id": "eval_runs"})
     assert sorted(map(tuple, got.collect())) == [("eval_runs", "2025-01", "late", 1), ("eval_runs", "2025-01", "missing", 1), ("eval_runs", "2025-02", "missing", 1)]
+
+
+def test_both_ways_of_finding_the_facts_agree_on_the_test_tables(spark, sf):
+    from weftline.session import load
+
+    sf = sf.replace("0.001", "0.01")
+    targets = {f: (load(spark, sf, t), f) for f, t in {"run_id": "eval_runs", "context_slice_id": "context_slices", "source_descriptor_id": "source_descriptors"}.items()}
+    facts = load(spark, sf, "metric_facts")
+    look = lambda **how: {tuple(r) for r in orphans.orphan_references(facts, targets, **how).select("fact_id", "field", "state").collect()}
+    few = look()
+    assert few and few == look(heavy=100, broadcast_rows=3) == look(heavy=10**9, broadcast_rows=3)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from weftline.functions.refs import id_key, ref_key
 from weftline.session import BROADCAST_ROWS, broadcast_if_small, is_small, materialize
 
+#: Beyond the broadcast's bound, facts are first sifted by a table of so many hash values of failing keys (4 million whole numbers at most).
+SIEVE = 1 << 22
 #: A key with this many references counts as heavy and is checked by broadcast.
 HEAVY = 100_000
 
@@ -70,8 +72,9 @@ def orphan_references(facts: DataFrame, targets: dict[str, tuple[DataFrame, str]
     with the same reference and time gives one row.  A null ts is never 'late'.  Empty tables
     give no rows (an empty referenced table makes every reference 'missing').
 
-    The failing keys find their facts by broadcast where they are few; else the heavy ones
-    still do, and only the references of the others are shuffled.
+    The failing keys find their facts by broadcast where they are few.  Else the heavy ones
+    still do, and the references of the others are sifted by the hash values of the failing
+    keys, a broadcast of bounded size, before what is left is shuffled.
     """
     refs = references(facts, fact_id, ts, list(targets))
     failing = materialize(failing_keys(refs, target_keys(targets), heavy).select("field", "key", "state", "created", "heavy").distinct(), "failing")
@@ -80,8 +83,10 @@ def orphan_references(facts: DataFrame, targets: dict[str, tuple[DataFrame, str]
         hit = refs.join(F.broadcast(failing.drop("heavy")), on)
     else:
         few = broadcast_if_small(failing.filter("heavy").drop("heavy"), max(broadcast_rows, BROADCAST_ROWS))
-        rest = refs.join(few.select(*on).distinct(), on, "left_anti")
-        hit = refs.join(few, on).unionByName(rest.join(failing.filter("not heavy").drop("heavy"), on))
+        light = failing.filter("not heavy").drop("heavy")
+        place = F.pmod(F.xxhash64("field", "key"), F.lit(SIEVE)).cast("int")
+        likely = refs.withColumn("_place", place).join(F.broadcast(light.select(place.alias("_place")).distinct()), "_place", "left_semi").drop("_place")
+        hit = refs.join(few, on).unionByName(likely.join(light, on))
     kept = hit.filter((F.col("state") != "late") | (F.col("created") > F.col("ts")))
     return kept.select("fact_id", "field", "state", "ts").distinct()
 

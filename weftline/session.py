@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of at most this many rows may be broadcast; it is counted first.
@@ -37,13 +37,16 @@ def session(app: str = "weftline", master: str | None = None, **conf: str) -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) a local folder is made and set.
+    Where that is unset, a local session (tests, a laptop) makes a folder of its own; a cluster
+    gets an error, as each executor would else keep its stages on its own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="weftline-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)  # our own folder only; a cluster's stays
         spark.sparkContext.setCheckpointDir(root)
@@ -55,13 +58,59 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage", drop: tuple = (), count: str | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back: it is computed once, its
-    lineage ends in files every executor can read, and a lost executor loses nothing."""
+    lineage ends in files every executor can read, and a lost executor loses nothing.
+
+    drop: frames materialized before that nothing needs any more once this one is written;
+    their files are removed.  The others go when the application ends.  count: SQL condition;
+    the rows that meet it are counted while they are written, see ``counted``.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation() if count else None
+    (df.observe(seen, F.count_if(F.expr(count)).alias("n")) if seen else df).write.parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stage_path, found._counted = path, seen and seen.get["n"]
+    _stages.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    release(*drop)
+    return found
+
+
+def counted(frame: DataFrame) -> int:
+    """What ``materialize`` counted for its frame."""
+    return frame._counted
+
+
+_stages: dict[str, set[str]] = {}
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove the files of materialized frames; frames that are none of these are left alone."""
+    for frame in frames:
+        path = getattr(frame, "_stage_path", None)
+        if path:
+            _delete(frame.sparkSession, path)
+            _stages.get(frame.sparkSession.sparkContext.applicationId, set()).discard(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def _clear() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    for path in _stages.pop(spark.sparkContext.applicationId, set()):
+        try:
+            _delete(spark, path)
+        except Exception:  # the session is on its way down; what is left is temporary
+            return
+
+
+atexit.register(_clear)
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

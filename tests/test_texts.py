@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from weftline.operators import windows as win
     ("mail ann.lee@example.org now", ["EMAIL"]), ("ann dot lee at example dot org", ["EMAIL"]), ("pay GB82 WEST 1234 5698 7654 32 today", ["IBAN"]), ("pay GB82 WEST 1234 5698 7654 33 today", []),
     ("card 4111 1111 1111 1111.", ["CREDIT_CARD"]), ("card 4111 1111 1111 1112.", []), ("ssn 123-45-6789", ["NATIONAL_ID"]), ("not 000-45-6789 or 666-45-6789", []), ("nino AB 12 34 56 C", ["NATIONAL_ID"]),
     ("call +44 20 7946 0958", ["PHONE"]), ("call (555) 123-4567", ["PHONE"]), ("born on 4 May 1980", ["DATE_OF_BIRTH"]), ("met on 4 May 1980", []), ("at 12 High Street.", ["STREET_ADDRESS"]), ("P.O. Box 77", ["STREET_ADDRESS"]), ("case 88251 had 12 of 45", []), ("", []), (None, []),
+    ("ring oh two seven double four nine one six oh three now", ["PHONE"]), ("it took one two three days", []), ("passport no. X9-33812", ["NATIONAL_ID"]), ("born March 3, 1991", ["DATE_OF_BIRTH"]), ("dob: 03/04/1991", ["DATE_OF_BIRTH"]),
+    ("card four double one one, one one one one, one one one one, one one one one", ["CREDIT_CARD"]), ("flat 9 on the hill", []), ("7b Old Mill Lane", ["STREET_ADDRESS"]), ("versions 1.2.3 and 10.20.30.40", []), ("nino BG 12 34 56 C", []),
 ])
 def test_personal_data(content, kinds):
     assert [k for _, _, k in text.pii_of(content)] == kinds
@@ -21,6 +25,13 @@ def test_redaction_spans_and_numbers():
     assert [t[a:b] for a, b, _ in text.pii_of(t)] == ["ann@x.org", "bob@x.org", "ann@x.org"] and text.redact_of(None) is None
 
 
+def test_further_finders_can_be_given(spark):
+    badge = (("BADGE", lambda t: [(m.start(), m.end()) for m in re.finditer(r"B-\d{3}", t.raw)]),)
+    df = spark.createDataFrame([("B-123 for ann@x.org",), (None,)], "t string")
+    got = df.select(text.redact(F.col("t"), extra=badge).alias("r"), text.pii(F.col("t"), badge).alias("p")).collect()
+    assert got[0].r == "[REDACTED:BADGE] for [REDACTED:EMAIL]" and [x.type for x in got[0].p] == ["BADGE", "EMAIL"] and got[1].r is None
+
+
 def test_quantities():
     got = [(q["kind"], q["value"], q["unit"]) for q in text.quantities_of("AUD 1,138.9m and $1.2 million, 22.6% of 2024, 5 bananas, 3k")]
     assert got == [("currency", 1138900000.0, "AUD"), ("currency", 1200000.0, None), ("percentage", 22.6, "percent"), ("number", 3000.0, None)]

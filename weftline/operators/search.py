@@ -165,33 +165,24 @@ def verify_claims(claims: DataFrame, evidence: DataFrame, claim_id: str = "claim
     return held.select(claim_id, hits.alias("hits"), verdict.alias("verdict"))
 
 
-def hashing_embedding(text: Column, dimension: int, salt: str) -> Column:
-    """A unit vector of signed word hashes (SHA-256); zeros for a text without words.  Arrow batches; a word is hashed once per batch."""
-    import hashlib
-
-    @F.pandas_udf("array<double>")
-    def embed(texts: pd.Series) -> pd.Series:
-        known: dict[str, tuple[int, float]] = {}
-
-        def cell(word: str) -> tuple[int, float]:
-            if word not in known:
-                digest = hashlib.sha256(f"{salt}:{word}".encode()).digest()
-                known[word] = int.from_bytes(digest[:4], "big") % dimension, 1.0 if digest[4] % 2 == 0 else -1.0
-            return known[word]
-
-        def vector(content) -> np.ndarray:
-            out = np.zeros(dimension)
-            for word in (content or "").split():
-                word = word.strip(".,!?;:()[]{}\"'").lower()
-                if word:
-                    at, sign = cell(word)
-                    out[at] += sign
-            norm = np.sqrt((out * out).sum())
-            return out / norm if norm else out
-
-        return texts.map(vector)
-
-    return embed(F.coalesce(text, F.lit("")))
+def hashing_embedding(text: Column, dimension: int, salt: str = "", features: Column | None = None) -> Column:
+    """A unit vector of the text's words (or of ``features``, an array of strings), hashed: feature h adds +1 or -1 at one place; zeros without any.
+
+    Built-in functions only: the lower bits of a 64-bit hash give the place, its sign the sign.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "") if features is None else F.coalesce(features, F.array().cast("array<string>"))
+    hashed = F.transform(words, lambda w: F.xxhash64(w, F.lit(salt)))
+    place = lambda h: F.pmod(h, F.lit(dimension))
+    sums = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.aggregate(F.filter(hashed, lambda h: place(h) == i), F.lit(0.0), lambda acc, h: acc + F.when(h < 0, -1.0).otherwise(1.0)))
+    norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda acc, x: acc + x * x))
+    return F.transform(sums, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+
+
+def trigram_embedding(text: Column, dimension: int, salt: str = "") -> Column:
+    """The same over the distinct runs of three characters of the plain text; a text shorter than that is one run."""
+    low = F.regexp_replace(F.trim(F.lower(F.coalesce(text, F.lit("")))), r"\s+", " ")
+    runs = F.when(F.length(low) > 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3))))).when(low != "", F.array(low))
+    return hashing_embedding(text, dimension, salt, runs)
 
 
 def recall(memories: DataFrame, query: str, workload: str, workspace: str, user: str, k: int) -> DataFrame:

@@ -57,7 +57,7 @@ def test_whole_log_queries_reach_the_last_change(spark, sf):
 
     log_ = spark.read.parquet(f"{sf}/hellgraph_events.parquet")
     every = {x for r in log_.select("event_id", "from_id", "to_id").collect() for x in r if x}
-    for name in ("log_changed_ids_all", "stream_percolate_all"):
+    for name in ("log_changed_ids", "stream_percolate"):
         assert {r.id for r in entry.queries()[name](spark, sf).collect()} == every
 
 

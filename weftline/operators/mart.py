@@ -161,6 +161,37 @@ def cap_weights(df: DataFrame, keys: list[str], item: str, amount: str, most: fl
     return df.select(*keys, item, weight.alias("weight"), F.when(weight > most, F.col(amount) - most * total).otherwise(0.0).alias("trim"))
 
 
+def lookup_absolute(df: DataFrame, figures: DataFrame, keys: list[str], value: str, absolute: str, resolve=None) -> DataFrame:
+    """df with reference_value: of the figures of equal keys the absolute one, else the one as printed; null if none.
+
+    Several figures of one key must agree; the greatest is taken.  resolve: a function
+    (df, figures, keys) -> frame that looks the figures up in its own way instead.
+    """
+    if resolve is not None:
+        return resolve(df, figures, keys)
+    one = figures.groupBy(*keys).agg(F.coalesce(F.max(absolute), F.max(value)).alias("reference_value"))
+    return df.join(one, keys, "left")
+
+
+def federate(sources: dict, key: str, each: int, order: list[Column]) -> tuple[DataFrame, list[str]]:
+    """(rows, failed): ``blend`` over sources given as functions, in their order; a source that fails is named and left out.
+
+    At most ``each`` rows of a source are kept, and they are read when it is asked, so a source
+    fails here and not later.
+    """
+    frames, failed = [], []
+    for name, ask in sources.items():
+        try:
+            df = ask()
+            top = df.orderBy(*order).limit(each)
+            frames.append(df.sparkSession.createDataFrame(top.collect(), top.schema))  # at most ``each`` rows
+        except Exception:
+            failed.append(name)
+    if not frames:
+        raise RuntimeError(f"all sources failed: {', '.join(failed)}")
+    return blend(frames, key, each, order), failed
+
+
 def lookup(df: DataFrame, reference: DataFrame, keys: list[str], prefer: list[str], value: str) -> DataFrame:
     """df with reference_value: of the reference rows of equal keys, the first by ``prefer`` (nulls last); null if none."""
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in prefer], F.col(value))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -226,18 +228,40 @@ def ground(nodes: DataFrame, edges: DataFrame, facts: DataFrame, question: str,
     return top.select(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("s", "p", "o")).alias("n"), "s", "p", "o")  # at most most_facts rows
 
 
-def rank_candidates(df: DataFrame, asked: list[str], least_trust: float) -> tuple[DataFrame, DataFrame]:
+def ground_hybrid(nodes: DataFrame, question: str, vectors: DataFrame, asked: list[float], gate: float = 0.2, most: int = 12) -> DataFrame:
+    """id, words, cosine, rank: nodes that a question names, or whose vector is nearer than ``gate`` to the question's.
+
+    nodes: id, text; vectors: id, embedding; asked: the question's vector.  Named nodes come
+    first, by number of words, then the others by cosine; ties by id.
+    """
+    words = sorted({w for w in re.split(r"[^a-z0-9]+", question.lower()) if len(w) > 2 and w not in STOP_WORDS})
+    low = F.lower(F.concat_ws(" ", F.col("id").cast("string"), "text"))
+    hits = sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
+    q = F.array(*[F.lit(float(x)) for x in asked])
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    dot = F.aggregate(F.zip_with(v, q, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    near = vectors.select("id", F.try_divide(dot, length(v) * length(q)).alias("cosine")).filter(F.col("cosine") > gate)
+    held = nodes.select("id", hits.alias("words")).join(near, "id", "full_outer").filter("coalesce(words, 0) > 0 or cosine is not null")
+    top = held.select("id", F.coalesce("words", F.lit(0)).alias("words"), "cosine").orderBy(F.desc("words"), F.desc_nulls_last("cosine"), "id").limit(most)
+    return top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("words"), F.desc_nulls_last("cosine"), "id")))  # at most ``most`` rows
+
+
+def rank_candidates(df: DataFrame, asked: list[str], least_trust: float, k: int = 1_000, grade=None) -> tuple[DataFrame, DataFrame]:
     """(ranked, excluded): candidates by coverage of the asked verbs times trust; exclusions are kept with their reason.
 
     df: id, verbs array, trust, verified boolean, access ('granted', 'requires-consent',
-    'denied').  An unverified claim counts 0.8, one that needs consent 0.85.
+    'denied').  An unverified claim counts 0.8, one that needs consent 0.85.  The k best are
+    ranked, by a top-k that no task holds whole.  grade: a function from the access column to
+    its factor (null: denied), in place of the one above.
     """
-    reason = F.when(F.coalesce(F.col("trust"), F.lit(0.0)) < least_trust, "trust below the floor").when(F.col("access") == "denied", "access denied")
+    reason = F.when(F.coalesce(F.col("trust"), F.lit(0.0)) < least_trust, "trust below the floor").when(F.col("access") == "denied" if grade is None else grade(F.col("access")).isNull(), "access denied")
     marked = df.withColumn("reason", reason)
     share = F.size(F.array_intersect("verbs", F.array(*[F.lit(v) for v in sorted(set(asked))]))) / F.lit(len(set(asked))) if asked else F.lit(0.5)
-    score = share * F.col("trust") * F.when(F.col("verified"), 1.0).otherwise(0.8) * F.when(F.col("access") == "granted", 1.0).otherwise(0.85)
+    score = share * F.col("trust") * F.when(F.col("verified"), 1.0).otherwise(0.8) * (F.when(F.col("access") == "granted", 1.0).otherwise(0.85) if grade is None else grade(F.col("access")))
     ranked = marked.filter("reason is null").withColumn("score", F.round(score, 9)).drop("reason")
-    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "id"))), marked.filter("reason is not null").select("id", "reason")
+    top = ranked.orderBy(F.desc("score"), "id").limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "id"))), marked.filter("reason is not null").select("id", "reason")
 
 
 def route(scored: DataFrame, keys: list[str], item: str, score: str, gap: float = 0.15, floor: float = 0.5) -> DataFrame:

@@ -77,12 +77,25 @@ def ridge(df: DataFrame, features: list[str], target: str, strength: float) -> d
     return dict(zip(features, beta.tolist())) | {"intercept": float(means[target] - sum(b * means[f] for b, f in zip(beta, features)))}
 
 
-def date_shift(date: Column, subject: Column, key: str, reach: int = 183) -> Column:
-    """A date moved by a number of days in [-reach, reach] that is the same for all dates of a subject; null stays null."""
-    days = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), subject.cast("string")), 256), 1, 12), 16, 10).cast("bigint"), F.lit(2 * reach + 1)) - reach
+def date_shift(date: Column, subject: Column, key: str, back: int = 183, ahead: int = 182) -> Column:
+    """A date moved by a number of days in [-back, ahead] that is the same for all dates of a subject; null stays null."""
+    days = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), subject.cast("string")), 256), 1, 12), 16, 10).cast("bigint"), F.lit(back + ahead + 1)) - back
     return F.date_add(date, days.cast("int"))
 
 
+def date_shift_text(text: Column, subject: Column, key: str) -> Column:
+    """``date_shift`` over written dates: a year alone passes, what can't be read becomes 'unshiftable', null stays null."""
+    day = F.to_date(F.try_to_timestamp(F.trim(text)))
+    return F.when(text.isNull(), F.lit(None)).when(F.trim(text).rlike(r"^\d{4}$"), F.trim(text)).when(day.isNotNull(), F.date_format(date_shift(day, subject, key), "yyyy-MM-dd")).otherwise("unshiftable")
+
+
+def variance(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """keys, n, variance: mean squared distance of vectors from their mean (population variance, summed over the places)."""
+    one = df.select(*keys, F.monotonically_increasing_id().alias("_id"), F.posexplode(vector).alias("_i", "_x"))
+    by_place = one.groupBy(*keys, "_i").agg(F.var_pop(F.col("_x").cast("double")).alias("v"), F.count(F.lit(1)).alias("n"))
+    return by_place.groupBy(*keys).agg(F.max("n").alias("n"), F.sum("v").alias("variance"))
+
+
 def backoff(attempt: Column, base: float, most: int = 3, exponential: bool = True) -> Column:
     """Seconds before the next attempt (base, doubling); null once ``most`` attempts are made: a dead letter."""
     return F.when(attempt <= most, F.lit(base) * F.pow(F.lit(2.0), attempt - 1) if exponential else F.lit(base))

@@ -237,6 +237,29 @@ def exact_copies(df: DataFrame, key: str, text: str) -> DataFrame:
     return marked.join(classes, "h").select(key, "class_id", "copies")
 
 
+def robots_rules(content: str | None, agent: str = "*") -> tuple[list[tuple[str, str]], float | None]:
+    """(rules, crawl delay) of a robots.txt for an agent: its own group if there is one, else that of all."""
+    groups: dict[str, tuple[list, list]] = {}
+    names, fresh = [], True
+    for line in (content or "").splitlines():
+        field, _, value = line.split("#", 1)[0].partition(":")
+        field, value = field.strip().lower(), value.strip()
+        if field == "user-agent":
+            names = [value.lower()] if fresh else [*names, value.lower()]
+            fresh = False
+            groups.setdefault(value.lower(), ([], []))
+        elif field in ("allow", "disallow", "crawl-delay"):
+            fresh = True
+            for name in names:
+                if field != "crawl-delay":
+                    groups[name][0].append((field, value))
+                elif re.fullmatch(r"\d+(?:\.\d+)?", value):
+                    groups[name][1].append(float(value))
+    own = [n for n in groups if n != "*" and n in agent.lower()]
+    rules, delays = groups.get(max(own, key=len) if own else "*", ([], []))
+    return rules, delays[0] if delays else None
+
+
 def robots_allowed(rules: list[tuple[str, str]], path: str) -> bool:
     """Whether a path may be fetched: the longest matching rule decides, allow wins ties; no rule allows."""
     best = (-1, True)
@@ -250,6 +273,42 @@ def robots_allowed(rules: list[tuple[str, str]], path: str) -> bool:
     return best[1]
 
 
+def may_fetch(path: Column, rules: list[tuple[str, str]]) -> Column:
+    """``robots_allowed`` in built-in functions: the rules are few and known, the paths are not."""
+    best = F.lit(0)
+    for kind, pattern in rules:
+        if pattern:
+            rx = "^" + re.escape(pattern).replace(r"\*", ".*")
+            rx = rx[:-2] + "$" if rx.endswith(r"\$") else rx
+            best = F.greatest(best, F.when(path.rlike(rx), F.lit(2 * len(pattern) + (kind.lower() == "allow"))).otherwise(F.lit(0)))
+    return (best == 0) | (best % 2 == 1)
+
+
+# fixed values: words of doubt, assertion and mood
+HEDGES = ("may", "might", "could", "perhaps", "possibly", "likely", "probably", "seems", "appears", "suggests")
+ASSERTS = ("is", "are", "was", "were", "must", "will", "always", "never", "proves", "shows", "confirms")
+GOOD, BAD = ("good", "better", "best", "improved", "gain", "success", "stable", "clear"), ("bad", "worse", "worst", "failed", "fails", "loss", "lost", "broken", "missing")
+
+
+def stance(text: Column) -> Column:
+    """struct(hedges, asserts, good, bad, polarity, tone): counts of words in a text; polarity (good - bad) / (good + bad), 0 without either; tone by hedges against assertions."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: w != "")
+    count = lambda held: F.size(F.filter(words, lambda w: w.isin(*held)))
+    hedges, asserts, good, bad = (count(x) for x in (HEDGES, ASSERTS, GOOD, BAD))
+    tone = F.when(hedges + asserts == 0, "neutral").when(hedges > asserts, "hedged").when(asserts > hedges, "assertive").otherwise("balanced")
+    return F.struct(hedges.alias("hedges"), asserts.alias("asserts"), good.alias("good"), bad.alias("bad"), F.coalesce(F.try_divide(good - bad, good + bad), F.lit(0.0)).alias("polarity"), tone.alias("tone"))
+
+
+def statements(text: Column) -> Column:
+    """Array of struct(subject, verb, object): clauses of names and plain verbs, such as ``Ann Lee wrote the first draft``.
+
+    Without a language model: a capitalised name, a word in -s or -ed, and the words up to a stop.
+    """
+    pattern = r"\b([A-Z]\w+(?: [A-Z]\w+)*) (\w+(?:ed|s|ote|ook|ave)) ((?:the |a |an )?[^.;:,!?\n]{1,80})"
+    each = lambda g: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(g))
+    return F.transform(F.arrays_zip(each(1).alias("subject"), each(2).alias("verb"), each(3).alias("object")), lambda z: F.struct(z["subject"].alias("subject"), z["verb"].alias("verb"), F.trim(z["object"]).alias("object")))
+
+
 def mentions_of(text: str | None, gazetteer: dict[str, str], cues: dict[str, str] | None = None) -> list[tuple[str, str, int, int]]:
     """(type, surface, start, end) of mentions: gazetteer names as whole words, words after a cue, personal data.
 

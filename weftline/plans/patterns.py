@@ -143,15 +143,18 @@ def _clean(term: str) -> str:
 
 
 def _group(body: str, data: DataFrame) -> DataFrame:
-    """Bindings of a group: patterns, FILTER, OPTIONAL, MINUS, and UNION of groups."""
+    """Bindings of a group: patterns, FILTER, OPTIONAL, MINUS, VALUES of one variable, and UNION of groups."""
     out, patterns, rest = None, [], body.strip()
-    late = []
+    late, given = [], []
     while rest:
         block = re.match(r"(?is)(OPTIONAL|MINUS)\s*\{([^{}]*)\}\s*\.?\s*", rest)
         union = re.match(r"(?is)(\{[^{}]*\}(?:\s*UNION\s*\{[^{}]*\})+)\s*\.?\s*", rest)
         check = re.match(rf"(?is)FILTER\s*\(\s*\?(\w+)\s*(<=|>=|!=|=|<|>)\s*({_VALUE})\s*\)\s*\.?\s*", rest)
         triple = re.match(rf"({_TERM})\s+({_TERM})\s+({_TERM})\s*(?:\.\s*|$)", rest)
-        if block:
+        values = re.match(r"(?is)VALUES\s+\?(\w+)\s*\{([^{}]*)\}\s*\.?\s*", rest)
+        if values:
+            given.append((values[1], [_clean(t) for t in re.findall(_TERM, values[2])]))
+        elif block:
             late.append((block[1].upper(), block[2]))
         elif union:
             parts = [_group(g, data) for g in re.findall(r"\{([^{}]*)\}", union[1])]
@@ -165,7 +168,7 @@ def _group(body: str, data: DataFrame) -> DataFrame:
             patterns.append(tuple(_clean(t) for t in triple.groups()))
         else:
             raise ValueError(f"not understood: {rest[:60]}")
-        rest = rest[(block or union or check or triple).end() :]
+        rest = rest[(values or block or union or check or triple).end() :]
     if patterns:
         found = tr.match(data, patterns)
         if out is None:
@@ -177,6 +180,10 @@ def _group(body: str, data: DataFrame) -> DataFrame:
             out = out.join(found, shared)
     if out is None:
         raise ValueError("an empty group")
+    for name, terms in given:
+        if name not in out.columns:
+            raise ValueError(f"unknown variable ?{name}")
+        out = out.filter(F.col(name).isin(terms))
     for kind, what in late:
         if kind == "FILTER":
             if what[1] not in out.columns:
@@ -213,3 +220,38 @@ def select(text: str, data: DataFrame) -> DataFrame:
         out = out.select(*plain)
     out = out.distinct() if distinct else out
     return out.orderBy(*out.columns).limit(int(limit)) if limit else out
+
+
+def validate(data: DataFrame, shapes: list[dict]) -> DataFrame:
+    """node, path, rule, value: where triples (s, p, o) break the shapes; nothing where they keep them.
+
+    A shape: target (a class), path, and any of min, max (how many values), in (allowed values),
+    pattern (a regular expression that values must hold), class (of the nodes that values name).
+    An unknown key is an error.  Nodes without any value count for min.
+    """
+    types = data.filter("p = 'rdf:type'").select(F.col("s").alias("node"), F.col("o").alias("is_a")).distinct()
+    out = None
+    for shape in shapes:
+        if set(shape) - {"target", "path", "min", "max", "in", "pattern", "class"} or not {"target", "path"} <= set(shape):
+            raise ValueError(f"not understood: {shape}")
+        nodes = types.filter(F.col("is_a") == shape["target"]).select("node")
+        values = data.filter(F.col("p") == shape["path"]).select(F.col("s").alias("node"), F.col("o").alias("value")).distinct()
+        held = nodes.join(values, "node", "left")
+        breaks = []
+        n = F.count("value")
+        if "min" in shape or "max" in shape:
+            wrong = F.when(n < shape.get("min", 0), "min").when(n > shape["max"], "max") if "max" in shape else F.when(n < shape["min"], "min")
+            breaks.append(held.groupBy("node").agg(wrong.alias("rule")).filter("rule is not null").select("node", "rule", F.lit(None).cast("string").alias("value")))
+        if "in" in shape:
+            breaks.append(held.filter(~F.col("value").isin(list(shape["in"]))).select("node", F.lit("in").alias("rule"), "value"))
+        if "pattern" in shape:
+            breaks.append(held.filter(~F.col("value").rlike(shape["pattern"])).select("node", F.lit("pattern").alias("rule"), "value"))
+        if "class" in shape:
+            good = types.filter(F.col("is_a") == shape["class"]).select(F.col("node").alias("value"))
+            breaks.append(held.filter("value is not null").join(good, "value", "left_anti").select("node", F.lit("class").alias("rule"), "value"))
+        for b in breaks:
+            one = b.select("node", F.lit(shape["path"]).alias("path"), "rule", "value")
+            out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no shape asks for anything")
+    return out

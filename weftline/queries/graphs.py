@@ -141,17 +141,13 @@ def graph_cdlp(spark, d):
     return graph.label_propagation(event_edges(spark, d), 3)
 
 
-def _near(spark, d):
-    return trade(spark, d).filter("label in ('BUYS_FROM', 'IN_NATION')")
-
-
 def graph_triangles(spark, d):
-    t = graph.triangles(_near(spark, d))
+    t = graph.triangles(trade(spark, d))
     return t.select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
 
 
 def graph_lcc(spark, d):
-    return graph.clustering(_near(spark, d)).select("id", F.round("lcc", 9).alias("lcc"))
+    return graph.clustering(trade(spark, d)).select("id", F.round("lcc", 9).alias("lcc"))
 
 
 def graph_closure(spark, d):
@@ -217,7 +213,7 @@ def _khop_sql(edges, start, most, prefix="h"):
     return text
 
 
-_NEAR = f"WITH {TRADE}, u AS (SELECT src, dst FROM trade WHERE label IN ('BUYS_FROM', 'IN_NATION') UNION SELECT dst, src FROM trade WHERE label IN ('BUYS_FROM', 'IN_NATION')), t AS (SELECT a.src AS id, count(*) / 2 AS t FROM u a JOIN u b ON a.dst = b.src JOIN u c ON b.dst = c.src AND c.dst = a.src GROUP BY 1)"
+_NEAR = f"WITH {TRADE}, u AS (SELECT src, dst FROM trade UNION SELECT dst, src FROM trade), t AS (SELECT a.src AS id, count(*) / 2 AS t FROM u a JOIN u b ON a.dst = b.src JOIN u c ON b.dst = c.src AND c.dst = a.src GROUP BY 1)"
 
 QUERIES = {
     "graph_stats": (graph_stats, f"WITH {TRADE} SELECT label, count(*) AS edge_count, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM trade GROUP BY 1"),
@@ -257,7 +253,7 @@ def _property_nodes(spark, d):
 
 
 def graph_explore(spark, d):
-    return graph.explore(trade(spark, d).filter("label <> 'IN_REGION'"), _ids(spark, "s1", "s2"), 20).select("id", "rank")
+    return graph.explore(trade(spark, d), _ids(spark, "s1", "s2"), 20).select("id", "rank")
 
 
 def graph_enrich(spark, d):
@@ -265,7 +261,7 @@ def graph_enrich(spark, d):
 
 
 def graph_edge_cut(spark, d):
-    e = trade(spark, d).filter("label = 'BUYS_FROM'")
+    e = trade(spark, d)
     parts = graph.nodes_of(e).select("id", F.pmod(F.regexp_extract("id", r"(\d+)", 1).cast("int"), F.lit(4)).alias("part"))
     return graph.edge_cut(e, parts).select("cut", "edges", F.round("share", 6).alias("share"), F.round("balance", 6).alias("balance"))
 
@@ -302,7 +298,7 @@ _NODES = "nd AS (SELECT event_id AS id, label, properties FROM hellgraph_events
 QUERIES |= {
     "graph_explore": (graph_explore, None),
     "graph_enrich": (graph_enrich, f"WITH {_NODES} SELECT key, round(count(DISTINCT id) / (SELECT count(*) FROM dev), 6) AS coverage FROM (SELECT id, unnest(json_keys(properties)) AS key FROM dev WHERE properties IS NOT NULL) GROUP BY 1"),
-    "graph_edge_cut": (graph_edge_cut, f"WITH {TRADE}, e AS (SELECT src, dst, src[2:]::INT % 4 AS pa, dst[2:]::INT % 4 AS pb FROM trade WHERE label = 'BUYS_FROM'), z AS (SELECT p, count(*) AS n FROM (SELECT src AS id, pa AS p FROM e UNION SELECT dst, pb FROM e) GROUP BY 1) SELECT count(*) FILTER (WHERE pa <> pb) AS cut, count(*) AS edges, round(count(*) FILTER (WHERE pa <> pb) / count(*), 6) AS share, (SELECT round(max(n) / avg(n), 6) FROM z) AS balance FROM e"),
+    "graph_edge_cut": (graph_edge_cut, f"WITH {TRADE}, e AS (SELECT src, dst, src[2:]::INT % 4 AS pa, dst[2:]::INT % 4 AS pb FROM trade), z AS (SELECT p, count(*) AS n FROM (SELECT src AS id, pa AS p FROM e UNION SELECT dst, pb FROM e) GROUP BY 1) SELECT count(*) FILTER (WHERE pa <> pb) AS cut, count(*) AS edges, round(count(*) FILTER (WHERE pa <> pb) / count(*), 6) AS share, (SELECT round(max(n) / avg(n), 6) FROM z) AS balance FROM e"),
     "graph_scope": (graph_scope, f"WITH {TRADE} SELECT * FROM trade WHERE src[1] <> 'p' AND dst[1] <> 'p' AND src[-1] <> '3' AND dst[-1] <> '3'"),
     "graph_ground": (graph_ground, f"WITH {TRADE}, s AS (SELECT 'n' || n_nationkey AS id FROM nation WHERE n_name LIKE '%NATION%' ORDER BY 1), e AS (SELECT * FROM trade WHERE label IN ('IN_NATION', 'IN_REGION') AND src[1] <> 'c'), seeds AS (SELECT id FROM (SELECT id, 1 + 0 AS h FROM s) ORDER BY h DESC, id LIMIT 12), seen AS (SELECT id FROM seeds UNION SELECT dst FROM e JOIN seeds ON src = id UNION SELECT src FROM e JOIN seeds ON dst = id) SELECT row_number() OVER (ORDER BY src, label, dst)::INT AS n, src AS s, label AS p, dst AS o FROM (SELECT DISTINCT src, label, dst FROM e WHERE src IN (SELECT id FROM seen) ORDER BY src, label, dst LIMIT 24)"),
     "graph_match": (graph_match, f"WITH {EVENT}, {_NODES} SELECT a.id AS a, b.id AS b, json_extract_string(b.properties, '$.owner') AS b_owner FROM dev a JOIN (SELECT DISTINCT src, dst FROM ev WHERE label = 'DEPENDS_ON') e ON e.src = a.id JOIN nd b ON b.id = e.dst WHERE TRY_CAST(json_extract_string(a.properties, '$.weight') AS DOUBLE) > 50"),

@@ -49,7 +49,9 @@ def crdt_delta(spark, d):
 
 
 def crdt_as_of(spark, d):
-    return crdt.view(crdt.as_of(op_log(spark, d), "hlc", 5000))[0]
+    """The log as it was half-way."""
+    log = op_log(spark, d)
+    return crdt.view(crdt.as_of(log, "hlc", log.agg(F.max("hlc")).first()[0] // 2))[0]
 
 
 def _trade_triples(spark, d):
@@ -131,10 +133,6 @@ def log_envelope(spark, d):
 
 
 def log_changed_ids(spark, d):
-    return logs.changed_ids(load(spark, d, "hellgraph_events").filter("seq <= 3000"))
-
-
-def log_changed_ids_all(spark, d):
     """The ids that any change of the log touches."""
     return logs.changed_ids(load(spark, d, "hellgraph_events"))
 
@@ -185,12 +183,6 @@ def stream_latest_wins(spark, d):
 
 
 def stream_percolate(spark, d):
-    edges = graphs.event_edges(spark, d)
-    batch = load(spark, d, "hellgraph_events").filter("seq <= 1500")
-    return cursor.percolate(edges, batch)
-
-
-def stream_percolate_all(spark, d):
     """What the whole log, taken as one batch, has to make anew."""
     return cursor.percolate(graphs.event_edges(spark, d), load(spark, d, "hellgraph_events"))
 
@@ -237,7 +229,7 @@ QUERIES = {
     "crdt_edges": (crdt_edges, _LIVE + " SELECT DISTINCT 'u' || user_id AS src, 'u' || (user_id * 7) % 1500 AS dst, 'SAW' AS label FROM events WHERE event_type = 'view' AND user_id IN (SELECT user_id FROM live) AND (user_id * 7) % 1500 IN (SELECT user_id FROM live)"),
     "crdt_registers": (crdt_registers, "SELECT 'u' || user_id AS id, round(arg_max(value, event_id), 6) AS spent FROM events WHERE event_type = 'purchase' GROUP BY 1"),
     "crdt_delta": (crdt_delta, "WITH l AS (SELECT 'r' || user_id % 3 AS replica, event_id AS seq FROM events), v AS (SELECT replica, max(seq) AS seen FROM l WHERE seq < 4000 AND replica <> 'r2' GROUP BY 1) SELECT replica, count(*) AS missing, min(seq) AS first_seq FROM l LEFT JOIN v USING (replica) WHERE seen IS NULL OR seq > seen GROUP BY 1"),
-    "crdt_as_of": (crdt_as_of, _LIVE.replace("FROM events)", "FROM events WHERE event_id <= 5000)").replace("FROM events e WHERE", "FROM events e WHERE e.event_id <= 5000 AND") + " SELECT 'u' || user_id AS id FROM live"),
+    "crdt_as_of": (crdt_as_of, _LIVE.replace("FROM events)", "FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events))").replace("FROM events e WHERE", "FROM events e WHERE e.event_id <= (SELECT max(event_id) // 2 FROM events) AND") + " SELECT 'u' || user_id AS id FROM live"),
     "rdf_map": (rdf_map, f"WITH {_T} SELECT s, p, o FROM t"),
     "rdf_bgp": (rdf_bgp, "SELECT 'ex:customer/' || c_custkey AS c, 'ex:nation/' || c_nationkey AS n, 'ex:region/' || n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'"),
     "rdf_optional_minus": (rdf_optional_minus, "SELECT 'ex:customer/' || c_custkey AS c, 'ex:nation/' || c_nationkey AS n, n_name AS name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey = 1) ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'MACHINERY'"),
@@ -251,8 +243,7 @@ QUERIES = {
     "stat_backoff": (stat_backoff, "SELECT event_id, CASE WHEN n <= 4 THEN 5.0 * pow(2, n - 1) END AS wait FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error')"),
     "log_validate": (log_validate, "SELECT concat_ws(',', CASE WHEN value_scalar IS NULL OR isnan(value_scalar) THEN 'has_value' END, CASE WHEN NOT coalesce(trim(run_id) <> '', false) THEN 'has_run' END, CASE WHEN NOT coalesce(latency_ms_p50 > 0, false) THEN 'positive_latency' END) AS broken, count(*) AS n FROM metric_facts GROUP BY 1"),
     "log_envelope": (log_envelope, "SELECT event_type AS type, count(*) AS n, count(DISTINCT (user_id, date_trunc('second', ts), event_id, value)) AS ids FROM events GROUP BY 1"),
-    "log_changed_ids": (log_changed_ids, "SELECT event_id AS id FROM hellgraph_events WHERE seq <= 3000 AND event_id <> '' UNION SELECT from_id FROM hellgraph_events WHERE seq <= 3000 AND from_id <> '' UNION SELECT to_id FROM hellgraph_events WHERE seq <= 3000 AND to_id <> ''"),
-    "log_changed_ids_all": (log_changed_ids_all, "SELECT event_id AS id FROM hellgraph_events WHERE event_id <> '' UNION SELECT from_id FROM hellgraph_events WHERE from_id <> '' UNION SELECT to_id FROM hellgraph_events WHERE to_id <> ''"),
+    "log_changed_ids": (log_changed_ids, "SELECT event_id AS id FROM hellgraph_events WHERE event_id <> '' UNION SELECT from_id FROM hellgraph_events WHERE from_id <> '' UNION SELECT to_id FROM hellgraph_events WHERE to_id <> ''"),
     "log_event_rows": (log_event_rows, None),
     "log_ticks": (log_ticks, None),
     "log_crawl": (log_crawl, "WITH RECURSIVE c AS (SELECT 1::BIGINT AS n, 0 AS depth UNION SELECT d, depth + 1 FROM (SELECT unnest([n * 2, n * 2 + 1]) AS d, depth FROM c WHERE depth < 6) WHERE d IN (SELECT doc_id FROM documents)) SELECT 'https://hub.example/p' || n AS url, min(depth) AS depth FROM c GROUP BY n"),
@@ -260,8 +251,7 @@ QUERIES = {
     "stream_sessions": (stream_sessions, "WITH m AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM m) SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 2 HOUR AS ended, count(*) AS n FROM s GROUP BY user_id, k HAVING ended <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"),
     "stream_dedup": (stream_dedup, "SELECT event_id, event_type FROM events"),
     "stream_latest_wins": (stream_latest_wins, "SELECT user_id || '|' || event_type AS key, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1"),
-    "stream_percolate": (stream_percolate, "WITH RECURSIVE e AS (SELECT DISTINCT from_id AS src, to_id AS dst FROM hellgraph_events WHERE from_id <> '' AND to_id <> ''), s AS (SELECT event_id AS id FROM hellgraph_events WHERE seq <= 1500 UNION SELECT from_id FROM hellgraph_events WHERE seq <= 1500 AND from_id <> '' UNION SELECT to_id FROM hellgraph_events WHERE seq <= 1500 AND to_id <> ''), c AS (SELECT id FROM s UNION SELECT dst FROM c JOIN e ON src = id) SELECT id FROM c"),
-    "stream_percolate_all": (stream_percolate_all, "WITH RECURSIVE e AS (SELECT DISTINCT from_id AS src, to_id AS dst FROM hellgraph_events WHERE from_id <> '' AND to_id <> ''), s AS (SELECT event_id AS id FROM hellgraph_events WHERE event_id <> '' UNION SELECT from_id FROM hellgraph_events WHERE from_id <> '' UNION SELECT to_id FROM hellgraph_events WHERE to_id <> ''), c AS (SELECT id FROM s UNION SELECT dst FROM c JOIN e ON src = id) SELECT id FROM c"),
+    "stream_percolate": (stream_percolate, "WITH RECURSIVE e AS (SELECT DISTINCT from_id AS src, to_id AS dst FROM hellgraph_events WHERE from_id <> '' AND to_id <> ''), s AS (SELECT event_id AS id FROM hellgraph_events WHERE event_id <> '' UNION SELECT from_id FROM hellgraph_events WHERE from_id <> '' UNION SELECT to_id FROM hellgraph_events WHERE to_id <> ''), c AS (SELECT id FROM s UNION SELECT dst FROM c JOIN e ON src = id) SELECT id FROM c"),
     "stream_attempts": (stream_attempts, "SELECT user_id, count(*) AS attempts, greatest(count(*) - 2, 0) AS dead FROM events WHERE event_type = 'error' GROUP BY 1"),
     "stream_materialize": (stream_materialize, "SELECT event_id, max(seq) AS seq FROM hellgraph_events WHERE seq IS NOT NULL GROUP BY 1"),
     "workflow_run": (workflow_run, "SELECT n_name, count(*) AS n, 'observed' AS warrant, true AS verified FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),

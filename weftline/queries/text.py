@@ -27,22 +27,8 @@ def txt_paragraphs(spark, d):
     return _docs(spark, d).filter("text is not null").select("doc_id", F.size(p).alias("paragraphs"))
 
 
-def txt_quantities(spark, d):
-    q = _docs(spark, d).select("doc_id", F.explode(text.quantities(F.col("text"))).alias("q"))
-    return q.groupBy("q.kind", "q.unit").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
-
-
-def txt_pii_counts(spark, d):
-    p = _docs(spark, d).select("doc_id", F.explode(text.pii(F.col("text"))).alias("p"))
-    return p.groupBy(F.col("p.type").alias("type")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
-
-
-def txt_redact(spark, d):
-    return _docs(spark, d).select("doc_id", text.redact(F.col("text")).alias("redacted")).filter("redacted like '%[REDACTED:%'")
-
-
 def txt_entities_cooccur(spark, d):
-    return text.cooccurrence(_docs(spark, d), "doc_id", "text").filter("n >= 2")
+    return text.cooccurrence(_docs(spark, d), "doc_id", "text")
 
 
 def txt_template_extract(spark, d):
@@ -54,12 +40,9 @@ def txt_exact_dup(spark, d):
     return text.exact_copies(_docs(spark, d), "doc_id", "text").filter("copies > 1")
 
 
-def txt_links(spark, d):
-    return _docs(spark, d).select("doc_id", F.explode(text.links(F.col("text"))).alias("link"))
-
-
 def txt_html_to_text(spark, d):
-    docs = _docs(spark, d).filter("text rlike '</?[A-Za-z][^<>]*>'")
+    """Every document with a page around it, back to text."""
+    docs = _docs(spark, d).withColumn("text", F.concat(F.lit("<html><style>p{}</style><p>"), "text", F.lit("</p><p>end &amp; out</p></html>")))
     return docs.select("doc_id", text.html_to_text(F.col("text")).alias("plain"))
 
 
@@ -76,14 +59,10 @@ QUERIES = {
     "txt_normalize": (txt_normalize, f"SELECT doc_id, length({_NORM})::INT AS n, sha256({_NORM}) AS sha FROM documents"),
     "txt_sentence_spans": (txt_sentence_spans, None),
     "txt_paragraphs": (txt_paragraphs, f"SELECT doc_id, len(list_filter(string_split({_NORM}, chr(10) || chr(10)), lambda x: trim(x) <> ''))::INT AS paragraphs FROM documents WHERE text IS NOT NULL"),
-    "txt_quantities": (txt_quantities, None),
-    "txt_pii_counts": (txt_pii_counts, None),
-    "txt_redact": (txt_redact, None),
     "txt_entities_cooccur": (txt_entities_cooccur, None),
     "txt_template_extract": (txt_template_extract, """WITH s AS (SELECT doc_id, 'step' AS template, unnest(regexp_extract_all(text, 'Step [-+]?\\d+(?:[.,]\\d+)*: open the \\p{L}+, wait')) AS m FROM documents UNION ALL SELECT doc_id, 'receipt', unnest(regexp_extract_all(text, 'Receipt [-+]?\\d+(?:[.,]\\d+)* links this \\p{L}+ to')) FROM documents)
 SELECT doc_id, template, regexp_extract(m, '([-+]?\\d+(?:[.,]\\d+)*)', 1) AS n, CASE template WHEN 'step' THEN regexp_extract(m, 'the (\\p{L}+), wait', 1) ELSE regexp_extract(m, 'this (\\p{L}+) to', 1) END AS what, 0.7::DOUBLE AS confidence FROM s"""),
     "txt_exact_dup": (txt_exact_dup, f"WITH h AS (SELECT doc_id, sha256({_NORM}) AS h FROM documents WHERE text IS NOT NULL), c AS (SELECT h, min(doc_id) AS class_id, count(*) AS copies FROM h GROUP BY 1 HAVING count(*) > 1) SELECT doc_id, class_id, copies FROM h JOIN c USING (h)"),
-    "txt_links": (txt_links, None),
     "txt_html_to_text": (txt_html_to_text, None),
     "txt_parse_figure": (txt_parse_figure, "SELECT o_orderkey, round(CASE o_orderkey % 3 WHEN 0 THEN o_totalprice WHEN 1 THEN -o_totalprice ELSE round(o_totalprice) * 1000 END, 2) AS figure FROM orders"),
 }

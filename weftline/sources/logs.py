@@ -61,9 +61,11 @@ def ticks(spark: SparkSession, symbols: list[str], n: int, seed: int, start: flo
     return frame.groupBy("symbol").applyInPandas(run, "symbol string, seq bigint, price double, volume bigint")
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, most_depth: int, url: str = "url", html: str = "html") -> DataFrame:
+def crawl(pages: DataFrame, seeds: DataFrame, most_depth: int, url: str = "url", html: str = "html", rules: list[tuple[str, str]] | None = None) -> DataFrame:
     """url, depth: pages reached from the seeds over links to the same origin, each at its least depth.
 
+    rules: of the origin's robots.txt; pages they forbid are not read.
+
     Runs over stored pages; fragments are cut off, so ``a#x`` and ``a`` are one page.
     """
     plain = lambda c: F.regexp_replace(c, "#.*$", "")
@@ -72,6 +74,8 @@ def crawl(pages: DataFrame, seeds: DataFrame, most_depth: int, url: str = "url",
     out = out.withColumn("dst", plain(F.when(F.col("t").startswith("/"), F.concat(origin(F.col("src")), F.col("t"))).otherwise(F.col("t"))))
     edges = materialize(out.filter(origin(F.col("src")) == origin(F.col("dst"))).select("src", "dst").distinct(), "crawl")
     stored = pages.select(plain(F.col(url)).alias("url")).distinct()
+    if rules:
+        stored = stored.filter(text.may_fetch(F.regexp_replace("url", r"^https?://[^/]+", ""), rules))
     seen = frontier = materialize(seeds.select(plain(F.col("url")).alias("url")).distinct().withColumn("depth", F.lit(0)).join(stored, "url", "left_semi"), "crawl")
     for depth in range(1, most_depth + 1):
         found = frontier.join(edges, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct().join(stored, "url", "left_semi").join(seen.select("url"), "url", "left_anti")

@@ -81,6 +81,12 @@ def tumbling(stream: DataFrame, width: str, late: str) -> DataFrame:
     return w.select("event_type", F.col("w.start").alias("started"), "n", "total")
 
 
+def sliding(stream: DataFrame, width: str, step: str, late: str) -> DataFrame:
+    """event_type, started, n, total: windows of a width that start every step, so a row counts in several."""
+    w = stream.withWatermark("ts", late).groupBy(F.window("ts", width, step).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return w.select("event_type", F.col("w.start").alias("started"), "n", "total")
+
+
 def session_counts(stream: DataFrame, gap: str, late: str) -> DataFrame:
     """user_id, started, ended, n: session windows per user."""
     w = stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))

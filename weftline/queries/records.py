@@ -46,6 +46,23 @@ def store_records(spark, d):
     return nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count(F.lit(1)).alias("nations"))
 
 
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 0")
+def store_database(spark, d):
+    """Customers written into a database in one transaction, read back in four parts with a filter that the database takes.
+
+    The database is an embedded one in the driver's memory, so this query is for a local session.
+    """
+    import uuid
+
+    url = f"jdbc:derby:memory:weft{uuid.uuid4().hex};create=true"
+    connection = spark.sparkContext._jvm.java.sql.DriverManager.getConnection(url)
+    connection.createStatement().execute('CREATE TABLE CUSTOMERS ("c_custkey" BIGINT, "c_name" VARCHAR(200), "c_acctbal" DOUBLE)')
+    c = load(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    stores.write_table(c, url, "CUSTOMERS")
+    top = c.agg(F.max("c_custkey")).first()[0] or 1
+    return stores.read_table(spark, url, "CUSTOMERS", ("c_custkey", 0, top, 4)).filter("c_acctbal > 0")
+
+
 @query(_LIVE + " SELECT 'u' || user_id AS id FROM live")
 def store_log_replay(spark, d):
     """The operation log appended in three batches, one of them twice, compacted, and replayed."""

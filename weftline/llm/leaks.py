@@ -10,7 +10,10 @@ Why no passage is missed for the seed: cut a passage into pieces of ``LEAST`` to
 words.  One of them has no more edits for its length than the whole, so at most 4, and is a
 passage itself.  Its words without edits stand in at most 5 runs, the longest of which has 6
 words or more, or 4 if a word of the piece is written as two or two as one besides (which is
-no edit but ends a run).  From that run the piece is found with ``FIRST_EDITS`` edits; a run
+no edit but ends a run).  So a run is looked at only if it and the other runs near it, of
+four words or more on nearly the same diagonal, hold 7 words together: 16 or more words without
+edits in at most 4 runs, three of which may be too short to be seen, leave no fewer (longer
+pieces leave more).  From the longest run the piece is found with ``FIRST_EDITS`` edits; a run
 from which nothing is found with so many is given up, and from the others the whole passage
 is found with all the edits its item allows.
 
@@ -208,13 +211,15 @@ def leaks_in(automata: list[Automaton], text: list[str], least: int = LEAST, one
                     known.append([at, pos, at])
                 else:
                     known[-1][2] = at
+        by_item: dict[int, list] = {}
+        for (number, diagonal), runs in starts.items():
+            if len(automaton.items[number]) >= least:
+                by_item.setdefault(number, []).extend((first, diagonal, pos, last - first + automaton.seed) for first, pos, last in runs)
         spans: dict[int, list] = {}
         best: dict[int, tuple] = {}
-        for (number, _), runs in starts.items():
+        for number, runs in by_item.items():
             item = automaton.items[number]
-            if len(item) < least:
-                continue
-            for at, pos, _ in runs:
+            for at, pos in _promising(runs, least, one_in):
                 if every and any(a <= at < b for a, b in spans.get(number, ())):
                     continue
                 found = passage(text, item, at, pos, automaton.seed, least, one_in)
@@ -231,6 +236,35 @@ def leaks_in(automata: list[Automaton], text: list[str], least: int = LEAST, one
     return out
 
 
+def _promising(runs: list[tuple], least: int, one_in: int):
+    """(position in the text, position in the item) of the runs that a piece of a passage may hold; see the module's text.
+
+    runs: (position, diagonal, position in the item, words); positions are those of the end of
+    a run's first seed.
+    """
+    size = 2 * least - 1
+    drift = size // one_in + 1  # edits, and one word written as two
+    few = least // one_in
+    # the words of the shortest piece without edits, and beside one joined pair; runs of three words are not seen
+    enough = least - few - 2 - 3 * (few + 1)
+    if max(n for _, _, _, n in runs) < enough and len(runs) == 1:
+        return
+    runs.sort()
+    near = size + drift
+    low = 0
+    for i, (at, diagonal, pos, n) in enumerate(runs):
+        if n < enough:
+            while runs[low][0] < at - near:
+                low += 1
+            total, j = 0, low
+            while j < len(runs) and runs[j][0] <= at + near and total < enough:
+                total += runs[j][3] if abs(runs[j][1] - diagonal) <= drift else 0
+                j += 1
+            if total < enough:
+                continue
+        yield at, pos
+
+
 def word_offset(text: str, count: int) -> int:
     """The least length of a prefix of the text that holds more than ``count`` words, less its last word; the text's length if none does."""
     low, high = 0, len(text)

@@ -109,3 +109,17 @@ def test_strategies_sum_to_one_and_unknown_ones_fail(spark):
     assert {round(r[1], 9) for r in win.strategy_weights(prices, "market_neutral").groupBy("day").sum("weight").collect()} == {0.0}
     with pytest.raises(ValueError):
         win.strategy_weights(prices, "luck")
+
+
+def test_running_values_are_the_same_in_slices_and_over_whole_keys(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, rng.uniform(0.5, 1.5)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, t bigint, v double")
+    cut = F.floor(F.col("t") / 7)
+    for run in (
+        lambda s: win.hysteresis(df, ["k"], ["t"], "v", 0.7, 1.3, slice_=s), lambda s: win.drawdown(df, ["k"], ["t"], "v", slice_=s).withColumn("drawdown", F.round("drawdown", 9)),
+        lambda s: win.cumulative_product(df, ["k"], ["t"], "v", "p", s).withColumn("p", F.round("p", 9)),
+    ):
+        assert sorted(map(tuple, run(None).collect()), key=repr) == sorted(map(tuple, run(cut).collect()), key=repr)

@@ -29,23 +29,58 @@ def rolling_std(value: str, keys: list[str], order: list, width: int) -> Column:
     return F.when(F.count(F.lit(1)).over(w) == width, F.stddev_pop(value).over(w))
 
 
-def hysteresis(df: DataFrame, keys: list[str], order: list, value: str, enter: float, leave: float, state: str = "holding") -> DataFrame:
-    """A state that switches on below ``enter`` and off above ``leave`` and else stays; off at first."""
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+def time_slice(time: str, seconds: int) -> Column:
+    """The number of the stretch of time that a timestamp lies in: a slice for the running operators below."""
+    return F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (seconds * 1_000_000))
+
+
+def _running(df: DataFrame, keys: list[str], order: list, slice_: Column | None, parts: dict[str, tuple]) -> DataFrame:
+    """df with a running value per name of ``parts``, up to each row.
+
+    parts: name -> (value over a window, value of a slice as an aggregate, values of the slices
+    before over a window, (own, carried) -> value).  With a slice (a number that never falls
+    along the order) the windows run over one slice of a key, and what the slices before come
+    to, one row each, is carried in: a key that holds a third of all rows is spread over its
+    slices.  Without one, over the whole key.
+    """
+    whole = [Window.unboundedPreceding, Window.currentRow]
+    if slice_ is None:
+        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*whole)
+        return df.select("*", *[own(upto).alias(name) for name, (own, _, _, _) in parts.items()])
+    marked = df.withColumn("_slice", slice_)
+    within = [*keys, "_slice"]
+    upto = Window.partitionBy(*within).orderBy(*order).rowsBetween(*whole)
+    ends = marked.groupBy(*within).agg(*[total.alias(f"_e_{name}") for name, (_, total, _, _) in parts.items()])
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(within)], *[over(F.col(f"_e_{name}"), before).alias(f"_c_{name}") for name, (_, _, over, _) in parts.items()])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(within)]
+    held = marked.select("*", *[own(upto).alias(f"_o_{name}") for name, (own, _, _, _) in parts.items()]).join(carried, same, "left")
+    return held.select(*df.columns, *[merge(F.col(f"_o_{name}"), F.col(f"_c_{name}")).alias(name) for name, (_, _, _, merge) in parts.items()])
+
+
+def hysteresis(df: DataFrame, keys: list[str], order: list, value: str, enter: float, leave: float, state: str = "holding", slice_: Column | None = None) -> DataFrame:
+    """A state that switches on below ``enter`` and off above ``leave`` and else stays; off at first.  slice_: see ``time_slice``."""
     switch = F.when(F.col(value) < enter, F.lit(True)).when(F.col(value) > leave, F.lit(False))
-    return df.withColumn(state, F.coalesce(F.last(switch, ignorenulls=True).over(upto), F.lit(False)))
+    last = F.max_by(switch, F.when(switch.isNotNull(), F.struct(*order)))
+    part = (lambda w: F.last(switch, ignorenulls=True).over(w), last, lambda e, w: F.last(e, ignorenulls=True).over(w), lambda own, held: F.coalesce(own, held))
+    return _running(df, keys, order, slice_, {state: part}).withColumn(state, F.coalesce(state, F.lit(False)))
 
 
-def drawdown(df: DataFrame, keys: list[str], order: list, level: str, name: str = "drawdown") -> DataFrame:
-    """How far each value lies below the highest value so far, as a (non-positive) share of that."""
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.col(level) / F.max(level).over(upto) - 1)
+def drawdown(df: DataFrame, keys: list[str], order: list, level: str, name: str = "drawdown", slice_: Column | None = None) -> DataFrame:
+    """How far each value lies below the highest value so far, as a (non-positive) share of that.  slice_: see ``time_slice``."""
+    part = (lambda w: F.max(level).over(w), F.max(level), lambda e, w: F.max(e).over(w), lambda own, held: F.greatest(own, held))
+    return _running(df, keys, order, slice_, {"_top": part}).withColumn(name, F.col(level) / F.col("_top") - 1).drop("_top")
 
 
-def cumulative_product(factor: str, keys: list[str], order: list) -> Column:
-    """Running product of positive factors, by logs; null once a factor is not positive."""
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return F.when(F.min(factor).over(upto) > 0, F.exp(F.sum(F.log(factor)).over(upto)))
+def cumulative_product(df: DataFrame, keys: list[str], order: list, factor: str, name: str, slice_: Column | None = None) -> DataFrame:
+    """Running product of positive factors, by logs; null once a factor is not positive.  slice_: see ``time_slice``."""
+    logs = F.when(F.col(factor) > 0, F.log(F.when(F.col(factor) > 0, F.col(factor))))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    parts = {
+        "_log": (lambda w: F.sum(logs).over(w), F.sum(logs), lambda e, w: F.sum(e).over(w), lambda own, held: zero(own) + zero(held)),
+        "_low": (lambda w: F.min(factor).over(w), F.min(factor), lambda e, w: F.min(e).over(w), lambda own, held: F.least(own, held)),
+    }
+    return _running(df, keys, order, slice_, parts).withColumn(name, F.when(F.col("_low") > 0, F.exp("_log"))).drop("_log", "_low")
 
 
 def wilder_rsi(df: DataFrame, key: str, order: str, value: str, period: int = 14) -> DataFrame:
@@ -112,7 +147,8 @@ def backtest(prices: DataFrame, weights: DataFrame, key: str = "symbol", time: s
     earned = prices.join(weights, [key, time]).withColumn("_ret", F.col(price) / F.lag(price).over(series) - 1).withColumn("_held", F.lag("weight").over(series))
     daily = earned.groupBy(time).agg(F.sum(F.coalesce(F.col("_held") * F.col("_ret"), F.lit(0.0))).alias("ret"))
     # one row per calendar day from here on
-    out = daily.withColumn("_all", F.lit(1)).withColumn("_g", 1 + F.col("ret")).withColumn("equity", 100 * cumulative_product("_g", ["_all"], [time]))
+    out = daily.withColumn("_all", F.lit(1)).withColumn("_g", 1 + F.col("ret"))
+    out = cumulative_product(out, ["_all"], [time], "_g", "_p").withColumn("equity", 100 * F.col("_p"))
     return drawdown(out, ["_all"], [time], "equity").select(time, "ret", "equity", "drawdown")
 
 

@@ -45,17 +45,18 @@ def win_rolling_std(spark, d):
 
 
 def win_running_max_drawdown(spark, d):
-    e = win.drawdown(_events(spark, d).withColumn("level", F.col("value") + 1), ["user_id"], ["ts", "event_id"], "level")
+    e = win.drawdown(_events(spark, d).withColumn("level", F.col("value") + 1), ["user_id"], ["ts", "event_id"], "level", slice_=win.time_slice("ts", 86_400))
     return e.groupBy("user_id").agg(F.round(F.min("drawdown"), 6).alias("max_drawdown"))
 
 
 def win_cumprod(spark, d):
     e = _events(spark, d).withColumn("factor", 1 + F.col("value") / 10000)
-    return e.select("event_id", F.round(win.cumulative_product("factor", ["user_id"], ["ts", "event_id"]), 6).alias("product"))
+    held = win.cumulative_product(e, ["user_id"], ["ts", "event_id"], "factor", "product", win.time_slice("ts", 86_400))
+    return held.select("event_id", F.round("product", 6).alias("product"))
 
 
 def win_hysteresis(spark, d):
-    return win.hysteresis(_events(spark, d), ["user_id"], ["ts", "event_id"], "value", 5.0, 40.0).select("event_id", "holding")
+    return win.hysteresis(_events(spark, d), ["user_id"], ["ts", "event_id"], "value", 5.0, 40.0, slice_=win.time_slice("ts", 86_400)).select("event_id", "holding")
 
 
 def win_session_gap(spark, d):

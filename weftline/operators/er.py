@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import graph
-from weftline.session import materialize
+from weftline.session import counted, materialize
 
 # fixed values: weights and limits of a match, keys that identify a person, order of trust
 NAME_WEIGHT, ATTRIBUTE_WEIGHT = 0.7, 0.3
@@ -110,27 +110,40 @@ def block_pairs(records: DataFrame, anchors: DataFrame | None = None) -> DataFra
     return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def score_pairs(records: DataFrame, pairs: DataFrame, blocked: bool | None = None) -> DataFrame:
+def score_pairs(records: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b, name_sim, attr_sim, score, matched, conflict, veto, decision of each pair.
 
     conflict: the first identifying key on which both have unlike values; veto: disjoint
     primes in unlike scopes; either blocks.  A high score merges only with an equal name or
-    a matched attribute.  ``blocked`` keeps only pairs that are blocked (or are not), before
-    names are compared, which is the dear part.
+    a matched attribute.
     """
-    p = _prepared(records).drop("block")
-    side = lambda s: p.select(F.col("id").alias(s), F.struct("name", "attributes", "scope", "primes").alias(f"_{s}"))
-    j = pairs.join(side("a"), "a").join(side("b"), "b")
+    p = _sides(_prepared(records))
+    side = lambda s: p.select(F.col("id").alias(s), F.col("_s").alias(f"_{s}"))
+    return _scored(pairs.join(side("a"), "a").join(side("b"), "b"))
+
+
+def _sides(prepared: DataFrame) -> DataFrame:
+    """prepared with _s: all that a score looks at."""
+    exclusive = F.transform(F.array(*[F.lit(k) for k in EXCLUSIVE]), lambda k: F.nullif(F.try_element_at("attributes", k), F.lit("")))
+    return prepared.withColumn("_s", F.struct("name", "attributes", "scope", "primes", exclusive.alias("x")))
+
+
+def _clash(a: str, b: str) -> tuple[Column, Column]:
+    """(conflict, veto) of two sides."""
+    unlike = F.zip_with(F.col(f"{a}.x"), F.col(f"{b}.x"), lambda u, v: F.coalesce(u != v, F.lit(False)))
+    conflict = F.try_element_at(F.array(*[F.lit(k) for k in EXCLUSIVE]), F.nullif(F.array_position(unlike, F.lit(True)), F.lit(0)).cast("int"))
+    pa, pb = F.col(f"{a}.primes"), F.col(f"{b}.primes")
+    return conflict, (F.size(pa) > 0) & (F.size(pb) > 0) & ~F.arrays_overlap(pa, pb) & ~F.col(f"{a}.scope").eqNullSafe(F.col(f"{b}.scope"))
+
+
+def _scored(j: DataFrame) -> DataFrame:
+    """Scores of pairs with their sides (_a, _b)."""
     ka, kb = F.col("_a.attributes"), F.col("_b.attributes")
     shared = F.array_intersect(F.map_keys(ka), F.map_keys(kb))
     matched = F.array_sort(F.filter(shared, lambda k: (ka[k] == kb[k]) & (ka[k] != "")))
     attr = F.when(F.size(shared) > 0, F.size(matched) / F.size(shared)).otherwise(0.0)
-    clash = F.filter(F.array(*[F.lit(k) for k in EXCLUSIVE]), lambda k: (F.coalesce(ka[k], F.lit("")) != "") & (F.coalesce(kb[k], F.lit("")) != "") & (ka[k] != kb[k]))
-    veto = (F.size("_a.primes") > 0) & (F.size("_b.primes") > 0) & ~F.arrays_overlap("_a.primes", "_b.primes") & ~F.col("_a.scope").eqNullSafe(F.col("_b.scope"))
-    if blocked is not None:
-        is_blocked = F.try_element_at(clash, F.lit(1)).isNotNull() | veto
-        j = j.filter(is_blocked if blocked else ~is_blocked)
-    s = j.select("a", "b", jaro_winkler(F.col("_a.name"), F.col("_b.name")).alias("n"), attr.alias("at"), matched.alias("matched"), F.try_element_at(clash, F.lit(1)).alias("conflict"), veto.alias("veto"), ((F.size(ka) > 0) | (F.size(kb) > 0)).alias("has"), (F.col("_a.name") == F.col("_b.name")).alias("same_name"))
+    conflict, veto = _clash("_a", "_b")
+    s = j.select("a", "b", jaro_winkler(F.col("_a.name"), F.col("_b.name")).alias("n"), attr.alias("at"), matched.alias("matched"), conflict.alias("conflict"), veto.alias("veto"), ((F.size(ka) > 0) | (F.size(kb) > 0)).alias("has"), (F.col("_a.name") == F.col("_b.name")).alias("same_name"))
     s = s.withColumn("score", F.round(F.when(F.col("has"), NAME_WEIGHT * F.col("n") + ATTRIBUTE_WEIGHT * F.col("at")).otherwise(F.col("n")), 4))
     decision = (
         F.when(F.col("conflict").isNotNull() | F.col("veto"), "MERGE_BLOCKED")
@@ -161,19 +174,35 @@ def resolve(records: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     only within a connected component, so each component is one group.  With ``anchors``
     only pairs with a new record are scored; the anchors' own entities stay apart.
     """
-    met = materialize(block_pairs(records, anchors), "er")
-    free = materialize(score_pairs(records, met, blocked=False).filter("decision <> 'NO_MATCH'"), "er")
+    prepared = materialize(_prepared(records), "er")
+    same = materialize(representatives(records), "er")
+    reps = _sides(prepared.join(same.filter("id = same_as").select("id"), "id", "left_semi"))
+    known = F.lit(False) if anchors is None else F.coalesce("_known", F.lit(False))
+    if anchors is not None:
+        reps = reps.join(anchors.select("id", F.lit(True).alias("_known")).distinct(), "id", "left")
+    reps = materialize(reps.select("id", "block", "_s", known.alias("known")), "er")
+    blocked = lambda c, v: c.isNotNull() | v
+
+    def met(some_a: DataFrame, some_b: DataFrame, wanted: bool) -> DataFrame:
+        """Pairs of a block, with their sides, that are blocked or (wanted False) are not; told while they are joined."""
+        x, y = some_a.select(F.col("id").alias("a"), "block", F.col("_s").alias("_a"), F.col("known").alias("_ka")), some_b.select(F.col("id").alias("b"), "block", F.col("_s").alias("_b"), F.col("known").alias("_kb"))
+        is_blocked = blocked(*_clash("_a", "_b"))
+        return x.join(y, "block").filter((F.col("a") < F.col("b")) & ~(F.col("_ka") & F.col("_kb")) & (is_blocked if wanted else ~is_blocked)).select("a", "b", "_a", "_b")
+
+    free = materialize(_scored(met(reps, reps, False)).filter("decision <> 'NO_MATCH'"), "er")
     # blocked pairs matter only for the margins of merges by name alone
-    weak = free.filter("decision = 'MERGE_VERIFIED' and size(matched) = 0").select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    near = met.join(weak.withColumnRenamed("id", "a"), "a", "left_semi").unionByName(met.join(weak.withColumnRenamed("id", "b"), "b", "left_semi")).distinct()
-    pairs = materialize(decisive(free.unionByName(score_pairs(records, near, blocked=True))), "er").filter("decision = 'MERGE_VERIFIED'")
-    same = representatives(records)
+    weak = materialize(free.filter("decision = 'MERGE_VERIFIED' and size(matched) = 0").select(F.explode(F.array("a", "b")).alias("id")).distinct(), "er", count="true")
+    scored = free
+    if counted(weak):
+        few, others = reps.join(weak, "id", "left_semi"), reps.join(weak, "id", "left_anti")
+        scored = free.unionByName(_scored(met(few, reps, True).unionByName(met(others, few, True))))
+    pairs = materialize(decisive(scored), "er").filter("decision = 'MERGE_VERIFIED'")
     edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     comp = materialize(graph.components(edges), "er")
     # a component of one link has nothing to refuse: its pair was not blocked
     linked = pairs.join(comp, F.col("a") == F.col("id")).select("component", "a", "b", "score")
     many = linked.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
-    values = _prepared(records).select("id", F.map_filter("attributes", lambda k, v: k.isin(*EXCLUSIVE) & (v != "")).alias("x"))
+    values = prepared.select("id", F.map_filter("attributes", lambda k, v: k.isin(*EXCLUSIVE) & (v != "")).alias("x"))
     members = comp.join(many, "component", "left_semi").join(values, "id").select("component", "id", F.to_json("x").alias("x"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("double").alias("score"))
     links = linked.join(many, "component", "left_semi").select("component", F.col("a").alias("id"), F.lit(None).cast("string").alias("x"), "b", "score")
     rows = members.unionByName(links).repartition("component").sortWithinPartitions("component", "score", "id", "b")

@@ -466,7 +466,7 @@ def _habits(light: DataFrame, by_metric: DataFrame, by_pair: DataFrame) -> tuple
     logs = F.when(counts & (raw > 0) & ~F.isnan(raw) & (raw < float("inf")), F.log10(raw) + F.log10(size))
     found = light.join(by_metric.select("metric", "quantity", "definition_size"), "metric", "left").join(by_pair, ["source", "metric"], "left")
     state = F.when(counts, F.array_position(F.try_element_at(_state_sizes(), F.col("quantity")), size))
-    rows = found.select("metric", logs.alias("logs"), state.alias("state")).groupBy("metric").agg(F.percentile_approx("logs", [0.16, 0.5, 0.84]).alias("p"), F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("state") == k + 1).alias(f"s{k}") for k in range(OTHER)])
+    rows = found.select("metric", logs.alias("logs"), state.alias("state")).groupBy("metric").agg(F.percentile_approx("logs", [0.16, 0.5, 0.84], 500).alias("p"), F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("state") == k + 1).alias(f"s{k}") for k in range(OTHER)])
     held = rows.groupBy(F.when(F.col("p").isNotNull(), F.col("metric")).alias("metric")).agg(F.max("p").alias("p"), F.sum("n").alias("n"), *[F.max(f"s{k}").alias(f"s{k}") for k in range(OTHER)]).collect()  # metrics with a readable unit
     kept = []
     for r in held:

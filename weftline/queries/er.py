@@ -72,6 +72,6 @@ QUERIES = {
     "er_block_pairs": (er_block_pairs, f"WITH {_RECORDS} SELECT x.id AS a, y.id AS b FROM bk x JOIN bk y ON x.b = y.b AND x.id < y.id"),
     "er_score": (er_score, None),
     "er_clusters": (er_clusters, "SELECT 'a' || lpad(c_custkey::VARCHAR, 9, '0') AS id, 'a' || lpad(c_custkey::VARCHAR, 9, '0') AS entity FROM customer UNION ALL SELECT 'b' || lpad(c_custkey::VARCHAR, 9, '0'), 'a' || lpad(c_custkey::VARCHAR, 9, '0') FROM customer"),
-    "er_golden": (er_golden, None),
+    "er_golden": (er_golden, f"WITH {_RECORDS} SELECT 'a' || lpad(k::VARCHAR, 9, '0') AS entity, 'a' || lpad(k::VARCHAR, 9, '0') AS survivor, name, 2 AS members, 'u' || k || '@example.org' AS email FROM base"),
     "er_incremental": (er_incremental, "SELECT 'a' || lpad(c_custkey::VARCHAR, 9, '0') AS id, 'a' || lpad(c_custkey::VARCHAR, 9, '0') AS entity FROM customer UNION ALL SELECT 'b' || lpad(c_custkey::VARCHAR, 9, '0'), 'a' || lpad(c_custkey::VARCHAR, 9, '0') FROM customer"),
 }

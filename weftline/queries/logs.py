@@ -244,7 +244,9 @@ QUERIES = {
     "log_validate": (log_validate, "SELECT concat_ws(',', CASE WHEN value_scalar IS NULL OR isnan(value_scalar) THEN 'has_value' END, CASE WHEN NOT coalesce(trim(run_id) <> '', false) THEN 'has_run' END, CASE WHEN NOT coalesce(latency_ms_p50 > 0, false) THEN 'positive_latency' END) AS broken, count(*) AS n FROM metric_facts GROUP BY 1"),
     "log_envelope": (log_envelope, "SELECT event_type AS type, count(*) AS n, count(DISTINCT (user_id, date_trunc('second', ts), event_id, value)) AS ids FROM events GROUP BY 1"),
     "log_changed_ids": (log_changed_ids, "SELECT event_id AS id FROM hellgraph_events WHERE event_id <> '' UNION SELECT from_id FROM hellgraph_events WHERE from_id <> '' UNION SELECT to_id FROM hellgraph_events WHERE to_id <> ''"),
-    "log_event_rows": (log_event_rows, None),
+    "log_event_rows": (log_event_rows, """WITH r AS (SELECT CASE WHEN event_id LIKE 'edge%' THEN 'edge' ELSE 'node' END AS what, CASE WHEN event_id LIKE 'edge%' THEN label ELSE string_split(label, ',')[1] END AS first_label,
+CASE WHEN json_valid(properties) THEN list_sort([k || '=' || coalesce(json_extract_string(properties, '$."' || k || '"'), chr(1)) for k in json_keys(properties)]) END AS p FROM hellgraph_events)
+SELECT what, first_label, count(*) AS n, count(DISTINCT p) AS property_sets FROM r GROUP BY ALL"""),
     "log_ticks": (log_ticks, None),
     "log_crawl": (log_crawl, "WITH RECURSIVE c AS (SELECT 1::BIGINT AS n, 0 AS depth UNION SELECT d, depth + 1 FROM (SELECT unnest([n * 2, n * 2 + 1]) AS d, depth FROM c WHERE depth < 6) WHERE d IN (SELECT doc_id FROM documents)) SELECT 'https://hub.example/p' || n AS url, min(depth) AS depth FROM c GROUP BY n"),
     "stream_tumbling": (stream_tumbling, "WITH w AS (SELECT event_type, ts::DATE::TIMESTAMP AS started, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2) SELECT * FROM w WHERE started + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"),

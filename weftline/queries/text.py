@@ -55,14 +55,26 @@ def txt_parse_figure(spark, d):
 
 _NORM = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '(?m)[ \\t]+$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
 
+#: The same steps over any SQL expression.
+def _norm_of(x):
+    return _NORM.replace("(text,", f"({x},")
+
+
+_PLAIN = "regexp_replace('<html><style>p{}</style><p>' || text || '</p><p>end &amp; out</p></html>', '<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'gis')"
+_PLAIN = f"regexp_replace(regexp_replace({_PLAIN}, '<br\\s*/?>|</(p|div|h[1-6]|li|tr|table|ul|ol)\\s*>', chr(10), 'gi'), '</?[A-Za-z][^<>]*>', '', 'g')"
+for _entity, _sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_entity}', '{_sign}')"
+_SPANS = f"""WITH p AS (SELECT doc_id, unnest(string_split({_NORM}, chr(10) || chr(10))) AS p FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, trim(unnest(string_split(regexp_replace(p, '([.!?])[\\s\\pZ\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}]+', '\\1' || chr(1), 'g'), chr(1))), ' ' || chr(9) || chr(10) || chr(160)) AS s FROM p)
+SELECT doc_id, count(*) AS sentences, sum(length(s))::BIGINT AS covered FROM s WHERE s <> '' GROUP BY 1"""
+
 QUERIES = {
     "txt_normalize": (txt_normalize, f"SELECT doc_id, length({_NORM})::INT AS n, sha256({_NORM}) AS sha FROM documents"),
-    "txt_sentence_spans": (txt_sentence_spans, None),
+    "txt_sentence_spans": (txt_sentence_spans, _SPANS),
     "txt_paragraphs": (txt_paragraphs, f"SELECT doc_id, len(list_filter(string_split({_NORM}, chr(10) || chr(10)), lambda x: trim(x) <> ''))::INT AS paragraphs FROM documents WHERE text IS NOT NULL"),
     "txt_entities_cooccur": (txt_entities_cooccur, None),
     "txt_template_extract": (txt_template_extract, """WITH s AS (SELECT doc_id, 'step' AS template, unnest(regexp_extract_all(text, 'Step [-+]?\\d+(?:[.,]\\d+)*: open the \\p{L}+, wait')) AS m FROM documents UNION ALL SELECT doc_id, 'receipt', unnest(regexp_extract_all(text, 'Receipt [-+]?\\d+(?:[.,]\\d+)* links this \\p{L}+ to')) FROM documents)
 SELECT doc_id, template, regexp_extract(m, '([-+]?\\d+(?:[.,]\\d+)*)', 1) AS n, CASE template WHEN 'step' THEN regexp_extract(m, 'the (\\p{L}+), wait', 1) ELSE regexp_extract(m, 'this (\\p{L}+) to', 1) END AS what, 0.7::DOUBLE AS confidence FROM s"""),
     "txt_exact_dup": (txt_exact_dup, f"WITH h AS (SELECT doc_id, sha256({_NORM}) AS h FROM documents WHERE text IS NOT NULL), c AS (SELECT h, min(doc_id) AS class_id, count(*) AS copies FROM h GROUP BY 1 HAVING count(*) > 1) SELECT doc_id, class_id, copies FROM h JOIN c USING (h)"),
-    "txt_html_to_text": (txt_html_to_text, None),
+    "txt_html_to_text": (txt_html_to_text, f"SELECT doc_id, {_norm_of(f"regexp_replace({_PLAIN}, '[ ' || chr(9) || ']+', ' ', 'g')")} AS plain FROM documents"),
     "txt_parse_figure": (txt_parse_figure, "SELECT o_orderkey, round(CASE o_orderkey % 3 WHEN 0 THEN o_totalprice WHEN 1 THEN -o_totalprice ELSE round(o_totalprice) * 1000 END, 2) AS figure FROM orders"),
 }

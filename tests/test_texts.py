@@ -123,3 +123,12 @@ def test_running_values_are_the_same_in_slices_and_over_whole_keys(spark):
         lambda s: win.cumulative_product(df, ["k"], ["t"], "v", "p", s).withColumn("p", F.round("p", 9)),
     ):
         assert sorted(map(tuple, run(None).collect()), key=repr) == sorted(map(tuple, run(cut).collect()), key=repr)
+
+
+def test_hashed_vectors_have_unit_length_and_do_not_depend_on_order(spark):
+    df = spark.createDataFrame([(1, "Blue harbour, blue boat"), (2, "boat blue BLUE harbour"), (3, ""), (4, None), (5, "w " * 50_000)], "id int, t string")
+    got = {r.id: r.v for r in df.select("id", search.hashing_embedding(F.col("t"), 16, "s").alias("v")).collect()}
+    assert got[1] == got[2] and abs(sum(x * x for x in got[1]) - 1) < 1e-9 and got[3] == got[4] == [0.0] * 16 and sorted(map(abs, got[5]))[-1] == 1.0
+    three = {r.id: r.v for r in df.select("id", search.trigram_embedding(F.col("t"), 16).alias("v")).collect()}
+    assert len(three[1]) == 16 and three[3] == [0.0] * 16
+    assert df.limit(0).select(search.hashing_embedding(F.col("t"), 4).alias("v")).count() == 0

@@ -170,20 +170,28 @@ def verify_claims(claims: DataFrame, evidence: DataFrame, claim_id: str = "claim
 def hashing_embedding(text: Column, dimension: int, salt: str = "", features: Column | None = None) -> Column:
     """A unit vector of the text's words (or of ``features``, an array of strings), hashed: feature h adds +1 or -1 at one place; zeros without any.
 
-    Built-in functions only: the lower bits of a 64-bit hash give the place, its sign the sign.
+    The lower bits of a 64-bit hash give the place, its sign the sign.  Words are cut and hashed
+    by built-in functions, each once; the hashes of an Arrow batch are summed in one numpy step.
     """
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "") if features is None else F.coalesce(features, F.array().cast("array<string>"))
-    hashed = F.transform(words, lambda w: F.xxhash64(w, F.lit(salt)))
-    place = lambda h: F.pmod(h, F.lit(dimension))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.aggregate(F.filter(hashed, lambda h: place(h) == i), F.lit(0.0), lambda acc, h: acc + F.when(h < 0, -1.0).otherwise(1.0)))
-    norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(sums, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+
+    @F.pandas_udf("array<double>")
+    def summed(hashes: pd.Series) -> pd.Series:
+        flat = np.concatenate([np.asarray(h, dtype=np.int64) for h in hashes]) if len(hashes) else np.empty(0, np.int64)
+        rows = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+        out = np.zeros((len(hashes), dimension))
+        np.add.at(out, (rows, flat % dimension), np.where(flat < 0, -1.0, 1.0))
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return pd.Series(list(out / np.where(norm > 0, norm, 1.0)))
+
+    return summed(F.transform(words, lambda w: F.xxhash64(w, F.lit(salt))))
 
 
 def trigram_embedding(text: Column, dimension: int, salt: str = "") -> Column:
     """The same over the distinct runs of three characters of the plain text; a text shorter than that is one run."""
     low = F.regexp_replace(F.trim(F.lower(F.coalesce(text, F.lit("")))), r"\s+", " ")
-    runs = F.when(F.length(low) > 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3))))).when(low != "", F.array(low))
+    # a look ahead at every place: one pass over the text, however long
+    runs = F.when(F.length(low) > 2, F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?s)(?=(.{3}))"), F.lit(1)))).when(low != "", F.array(low))
     return hashing_embedding(text, dimension, salt, runs)
 
 

@@ -76,3 +76,18 @@ def test_new_records_attach_to_anchors_only_anew(spark):
 def test_nulls_and_empty(spark):
     f = spark.createDataFrame([("a", None, None, None, None), ("b", "", {}, None, []), ("c", None, {"email": None}, "x", None), (None, "x", None, None, None)], DDL).withColumn("block", F.lit(1))
     assert er.resolve(f).count() == 3 and er.resolve(f.limit(0)).count() == 0
+
+
+def test_pairs_with_unlike_keys_are_not_listed(spark):
+    """300 people of one name and as many e-mail addresses: records meet where what both know of a person is equal."""
+    rows = [(f"a{i:03d}", "Ann Lee", {"email": f"u{i}@x"}) for i in range(300)] + [(f"b{i:03d}", "Ann Lee", {"email": f"U{i}@x", "zip": "1"}) for i in range(300)]
+    rows += [("p", "Ann Lee", {"email": "u7@x", "ssn": "1"}), ("q", "Ann Lee", {"ssn": "1"}), ("r", "Ann Lee", {"ssn": "2"}), ("s", "Ann Leo", {})]
+    reps = er._sides(er._prepared(frame(spark, *rows))).select("id", "block", "_s", F.lit(False).alias("known"))
+    sides = {r[0]: {k: v.lower() for k, v in r[2].items() if k in er.EXCLUSIVE} for r in rows}
+    fits = lambda a, b: all(sides[b].get(k, v) == v for k, v in sides[a].items())
+    want = {(a, b) for a in sides for b in sides if a < b and fits(a, b)}
+    met = er._unblocked(reps)
+    assert {(r.a, r.b) for r in met.select("a", "b").collect()} == want and met.count() == len(want)
+    on = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "_v" in on  # values are part of what the join asks, so unlike ones are never paired
+    assert len([g for g in groups(er.resolve(frame(spark, *rows[:-3]))) if len(g) == 2]) == 299

@@ -7,6 +7,8 @@ the others join its entity, so copies of one record never make pairs among thems
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -166,6 +168,29 @@ def decisive(scored: DataFrame) -> DataFrame:
     return j.withColumn("decision", F.when(weak, "REQUIRES_REVIEW").otherwise(F.col("decision"))).drop("ma", "mb")
 
 
+def _blocked(conflict: Column, veto: Column) -> Column:
+    return conflict.isNotNull() | veto
+
+
+def _unblocked(reps: DataFrame) -> DataFrame:
+    """a, b, _a, _b: the pairs of a block that no identifying key and no veto blocks (reps: id, block, _s, known).
+
+    Records fall into classes by which identifying keys they hold.  The pairs of two classes are
+    met on the block and on the values of the keys that both hold, which must be equal; only
+    records without a key in common meet on the block alone.  A record goes once to each class.
+    """
+    held = reps.withColumn("_c", reduce(Column.__add__, [F.when(F.col("_s.x")[i].isNotNull(), 1 << i).otherwise(0) for i in range(len(EXCLUSIVE))]))
+    classes = F.array(*[F.lit(r[0]) for r in held.select("_c").distinct().orderBy("_c").collect()]).cast("array<int>")  # at most 2 ** len(EXCLUSIVE)
+    values = F.array(*[F.when(F.col("_p").bitwiseAND(F.col("_q")).bitwiseAND(F.lit(1 << i)) != 0, F.col("_s.x")[i]).otherwise("") for i in range(len(EXCLUSIVE))]).alias("_v")
+    x = held.select("*", F.col("_c").alias("_p"), F.explode(F.filter(classes, lambda c: c >= F.col("_c"))).alias("_q")).select("block", "_p", "_q", values, F.struct("id", "known", "_s").alias("_x"))
+    y = held.select("*", F.explode(F.filter(classes, lambda c: c <= F.col("_c"))).alias("_p"), F.col("_c").alias("_q")).select("block", "_p", "_q", values, F.struct("id", "known", "_s").alias("_y"))
+    met = x.join(y, ["block", "_p", "_q", "_v"]).filter(((F.col("_p") < F.col("_q")) | (F.col("_x.id") < F.col("_y.id"))) & ~(F.col("_x.known") & F.col("_y.known")))
+    ahead = F.col("_x.id") < F.col("_y.id")
+    one, other = F.when(ahead, F.col("_x")).otherwise(F.col("_y")), F.when(ahead, F.col("_y")).otherwise(F.col("_x"))
+    sides = met.select(one.alias("_1"), other.alias("_2")).select(F.col("_1.id").alias("a"), F.col("_2.id").alias("b"), F.col("_1._s").alias("_a"), F.col("_2._s").alias("_b"))
+    return sides.filter(~_blocked(*_clash("_a", "_b")))
+
+
 def resolve(records: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     """id, entity: the entity of every record, named by its smallest id.
 
@@ -181,21 +206,20 @@ def resolve(records: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     if anchors is not None:
         reps = reps.join(anchors.select("id", F.lit(True).alias("_known")).distinct(), "id", "left")
     reps = materialize(reps.select("id", "block", "_s", known.alias("known")), "er")
-    blocked = lambda c, v: c.isNotNull() | v
 
-    def met(some_a: DataFrame, some_b: DataFrame, wanted: bool) -> DataFrame:
-        """Pairs of a block, with their sides, that are blocked or (wanted False) are not; told while they are joined."""
+    def met(some_a: DataFrame, some_b: DataFrame) -> DataFrame:
+        """Pairs of a block, with their sides, that are blocked; told while they are joined."""
         x, y = some_a.select(F.col("id").alias("a"), "block", F.col("_s").alias("_a"), F.col("known").alias("_ka")), some_b.select(F.col("id").alias("b"), "block", F.col("_s").alias("_b"), F.col("known").alias("_kb"))
-        is_blocked = blocked(*_clash("_a", "_b"))
-        return x.join(y, "block").filter((F.col("a") < F.col("b")) & ~(F.col("_ka") & F.col("_kb")) & (is_blocked if wanted else ~is_blocked)).select("a", "b", "_a", "_b")
+        is_blocked = _blocked(*_clash("_a", "_b"))
+        return x.join(y, "block").filter((F.col("a") < F.col("b")) & ~(F.col("_ka") & F.col("_kb")) & is_blocked).select("a", "b", "_a", "_b")
 
-    free = materialize(_scored(met(reps, reps, False)).filter("decision <> 'NO_MATCH'"), "er")
+    free = materialize(_scored(_unblocked(reps)).filter("decision <> 'NO_MATCH'"), "er")
     # blocked pairs matter only for the margins of merges by name alone
     weak = materialize(free.filter("decision = 'MERGE_VERIFIED' and size(matched) = 0").select(F.explode(F.array("a", "b")).alias("id")).distinct(), "er", count="true")
     scored = free
     if counted(weak):
         few, others = reps.join(weak, "id", "left_semi"), reps.join(weak, "id", "left_anti")
-        scored = free.unionByName(_scored(met(few, reps, True).unionByName(met(others, few, True))))
+        scored = free.unionByName(_scored(met(few, reps).unionByName(met(others, few))))
     pairs = materialize(decisive(scored), "er").filter("decision = 'MERGE_VERIFIED'")
     edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     comp = materialize(graph.components(edges), "er")

@@ -126,6 +126,13 @@ def test_probe_and_partition_on_random_graphs(spark):
     edges = spark.createDataFrame(sorted(rows), "src bigint, dst bigint")
     asked = spark.createDataFrame([(i, j) for i in range(40) for j in range(3)], "src bigint, dst bigint")
     assert all(r.there == ((r.src, r.dst) in rows) for r in graph.probe(asked, edges).collect()) and graph.probe(asked, edges).count() == 120
+    group = lambda n, by: spark.createDataFrame([(i, i % by if i % 9 else None) for i in range(n)] + [(5, 2), (5, 2)], "id bigint, group int")
+    one, other = group(60, 4), group(30, 3)
+    every = one.withColumnsRenamed({"id": "src"}).join(other.withColumnsRenamed({"id": "dst"}), "group").select("src", "dst")
+    want = (every.count(), graph.probe(every, edges).filter("there").count())
+    for some in (edges, edges.unionByName(edges)):
+        counts = graph.probe_counts(one, other, some)
+        assert tuple(counts.first()) == want and "there#" in counts._jdf.queryExecution().optimizedPlan().toString()
     near = [(c * 50 + rng.randrange(50), c * 50 + rng.randrange(50)) for c in range(4) for _ in range(900)] + [(rng.randrange(200), rng.randrange(200)) for _ in range(60)]
     e = spark.createDataFrame(near, "src bigint, dst bigint")
     for rule in ("ldg", "fennel"):

@@ -154,3 +154,18 @@ def test_all_deleted_gives_an_empty_state(spark):
 def test_bare_words_and_empty_kind(spark):
     df = spark.createDataFrame([(k,) for k in ("node", "EDGE ", "", " ", "Node.Set", "edge_tombstone", "nodes", None)], "kind string")
     assert [r[0] for r in df.select(changes.change_action(F.col("kind"))).collect()] == [1, 1, None, None, 2, 3, 1, None]
+
+
+def test_most_of_a_feed_is_merged_into_a_table_that_is_there(spark, tmp_path, sf, monkeypatch):
+    from weftline.session import load
+
+    feed = load(spark, sf, "hellgraph_events")
+    sizes = []
+    apply = changes.BucketedTable.apply
+    monkeypatch.setattr(changes.BucketedTable, "apply", lambda self, batch, *a: (sizes.append((self.manifest()["version"], batch.count())), apply(self, batch, *a))[1])
+    got = changes.apply_feed(spark, feed, str(tmp_path / "t"))
+    assert [v for v, _ in sizes] == [0, 1, 2] and sum(n for _, n in sizes) == feed.count()
+    assert sum(n for v, n in sizes if v) > 0.6 * feed.count()
+    monkeypatch.setattr(changes, "BASE", 1.0)
+    whole = changes.apply_feed(spark, feed, str(tmp_path / "w"))
+    assert sorted(map(tuple, got.select("event_id", "seq").collect())) == sorted(map(tuple, whole.select("event_id", "seq").collect()))

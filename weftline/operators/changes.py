@@ -18,6 +18,7 @@ shuffle, spread over tasks by sequence, and its few partial folds are merged whe
 
 from __future__ import annotations
 
+import gc
 import json
 import uuid
 from functools import reduce
@@ -179,18 +180,33 @@ class BucketedTable:
         return gen, rows
 
     def _merge(self, current: dict, routed: DataFrame, touched: list[int], hot: list[int], name: str) -> tuple[dict, DataFrame]:
-        """Sort-merge of a batch's winners with the files of the touched buckets; of two changes of one key and order the greater wins."""
-        new, on = self._winners(routed, ["_bucket"]), ["_bucket", self.key, self.order]
-        rest = [c for c in new.columns if c not in on]
-        base = self._read(current, set(touched))
-        if base is None:
+        """A batch and the files of the touched buckets; of two changes of one key and order the greater wins.
+
+        Buckets within bounds: both in one shuffle by bucket.  Hot ones: the batch's winners are sort-merged with the files.
+        """
+        on, gen, rows = ["_bucket", self.key, self.order], {}, None
+        cold = sorted(set(touched) - set(hot))
+        if cold:
+            base = self._read(current, set(cold))
+            act, at = F.col(self.action), F.col(self.order)
+            new = (routed.filter(~F.col("_bucket").isin(hot)) if hot else routed).withColumns({"_made": F.when(act == CREATE, at), "_gone": F.when(act == DELETE, at)})
+            rest = [self.tiebreak, self.action, *[c for c in new.columns if c not in (*on, self.tiebreak, self.action)]]
+            both = new.select(*on, *rest) if base is None else base.select(*on, *rest).unionByName(new.select(*on, *rest))
+            won = both.repartition("_bucket").groupBy(*on).agg(F.max(F.struct(*rest)).alias("_w")).select(*on, "_w.*")
+            rows = self._marked(won.withColumn("_salt", F.lit(0)))
+            gen |= self._write(rows, f"{name}-a")
+        if hot:
+            new = self._winners(routed.filter(F.col("_bucket").isin(hot)), ["_bucket"])
+            rest = [c for c in new.columns if c not in on]
+            base = self._read(current, set(hot))
             merged = new
-        else:
-            held = base.select(*on, F.struct(*rest).alias("_b")).hint("merge").join(new.select(*on, F.struct(*rest).alias("_n")), on, "full_outer")
-            wins = F.col("_b").isNull() | (F.col("_n").isNotNull() & (F.col("_n") > F.col("_b")))
-            merged = held.select(*on, F.when(wins, F.col("_n")).otherwise(F.col("_b")).alias("_w")).select(*on, "_w.*")
-        rows = self._marked(self._settled(merged, hot))
-        return self._write(rows, name), rows
+            if base is not None:
+                held = base.select(*on, F.struct(*rest).alias("_b")).hint("merge").join(new.select(*on, F.struct(*rest).alias("_n")), on, "full_outer")
+                wins = F.col("_b").isNull() | (F.col("_n").isNotNull() & (F.col("_n") > F.col("_b")))
+                merged = held.select(*on, F.when(wins, F.col("_n")).otherwise(F.col("_b")).alias("_w")).select(*on, "_w.*")
+            rows = self._marked(self._settled(merged, hot))
+            gen |= self._write(rows, f"{name}-b")
+        return gen, rows
 
     def compact(self, folded_to: int) -> dict:
         """Fold all changes up to ``folded_to`` into one row per key; keys that are gone by then and have no later change are dropped.
@@ -249,26 +265,34 @@ class BucketedTable:
         return reduce(DataFrame.unionByName, parts)
 
 
+#: Share of the feed that is loaded before the first batch is merged into it.
+BASE = 0.25
+
+
 def apply_feed(spark: SparkSession, feed: DataFrame, path: str, buckets: int | None = None, payload=("label", "from_id", "to_id", "properties", "wall_time"), hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rebuild the state of a graph from its change feed: event_id, seq of the last change that took effect, payload.
 
-    The feed is taken as it came in: all but the last arrivals are loaded as the base, the
-    last ones (by ingest_time, about one per sixteen buckets each) follow as two batches that
-    rewrite the buckets they touch.  Where the cuts lie changes nothing about the result.
+    The feed is taken as it came in (by ingest_time): the first quarter is loaded as the base, all
+    else but the last arrivals is one batch that is merged into it, and the last ones (about one
+    per sixteen buckets) are another, which rewrites only the few buckets that it touches.  Where
+    the cuts lie changes nothing about the result.
     Rows without seq or event_id, and rows of unknown kind, are ignored.  An empty feed gives
     an empty frame.
     """
     feed = feed.select("event_id", "seq", "ingest_time", change_action(F.col("kind")).alias("_action"), *[c for c in payload if c not in ("event_id", "seq", "ingest_time")])
-    buckets = buckets or buckets_for(feed.count())
+    n, base = feed.agg(F.count(F.lit(1)), F.percentile_approx("ingest_time", BASE, 1_000)).first()
+    buckets = buckets or buckets_for(n)
     table = BucketedTable(spark, path, "event_id", "seq", "ingest_time", "_action", list(payload), buckets, hot_rows)
     few = max(1, buckets // 16)
-    last = [r[0] for r in feed.select("ingest_time").filter("ingest_time is not null").orderBy(F.desc("ingest_time")).limit(2 * few + 1).collect()]  # by the number of buckets
+    last = [r[0] for r in feed.select("ingest_time").filter("ingest_time is not null").orderBy(F.desc("ingest_time")).limit(few + 1).collect()]  # by the number of buckets
     at = F.col("ingest_time")
-    if len(last) == 2 * few + 1:
-        slices = [at.isNull() | (at <= last[2 * few]), (at > last[2 * few]) & (at <= last[few]), at > last[few]]
+    if len(last) == few + 1 and base < last[few]:
+        slices = [at.isNull() | (at <= F.lit(base)), (at > F.lit(base)) & (at <= F.lit(last[few])), at > F.lit(last[few])]
     else:
         slices = [F.lit(True)]
     for taken in slices:
         table.apply(feed.filter(taken))
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # Spark then removes the shuffle files of what is written
     found = table.state()
     return found if found is not None else feed.select("event_id", "seq", *payload).limit(0)

@@ -91,3 +91,13 @@ def test_pairs_with_unlike_keys_are_not_listed(spark):
     on = met._jdf.queryExecution().optimizedPlan().toString()
     assert "_v" in on  # values are part of what the join asks, so unlike ones are never paired
     assert len([g for g in groups(er.resolve(frame(spark, *rows[:-3]))) if len(g) == 2]) == 299
+
+
+def test_pairs_are_scored_where_they_meet(spark, sf):
+    from weftline.queries import er as queries
+
+    r = queries.records(spark, sf).filter("substring(id, 2) < '000000120'")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    found = er.score_blocks(r)
+    assert rows(found) == rows(er.score_pairs(r, er.block_pairs(r))) != []
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # pairs are not joined with records again

@@ -124,6 +124,13 @@ def score_pairs(records: DataFrame, pairs: DataFrame) -> DataFrame:
     return _scored(pairs.join(side("a"), "a").join(side("b"), "b"))
 
 
+def score_blocks(records: DataFrame) -> DataFrame:
+    """``score_pairs`` of all ``block_pairs``: pairs are scored where they meet, so only records are shuffled."""
+    p = materialize(_sides(_prepared(records)).join(representatives(records).filter("id = same_as").select("id"), "id", "left_semi").select("id", "block", "_s"), "er")
+    side = lambda s: p.select("block", F.col("id").alias(s), F.col("_s").alias(f"_{s}"))
+    return _scored(side("a").join(side("b"), "block").filter(F.col("a") < F.col("b")))
+
+
 def _sides(prepared: DataFrame) -> DataFrame:
     """prepared with _s: all that a score looks at."""
     exclusive = F.transform(F.array(*[F.lit(k) for k in EXCLUSIVE]), lambda k: F.nullif(F.try_element_at("attributes", k), F.lit("")))

@@ -34,8 +34,7 @@ def er_block_pairs(spark, d):
 
 
 def er_score(spark, d):
-    r = records(spark, d)
-    return er.score_pairs(r, er.block_pairs(r)).filter("decision <> 'NO_MATCH'").select("a", "b", "score", "decision")
+    return er.score_blocks(records(spark, d)).filter("decision <> 'NO_MATCH'").select("a", "b", "score", "decision")
 
 
 def er_clusters(spark, d):

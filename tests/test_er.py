@@ -101,3 +101,49 @@ def test_pairs_are_scored_where_they_meet(spark, sf):
     found = er.score_blocks(r)
     assert rows(found) == rows(er.score_pairs(r, er.block_pairs(r))) != []
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # pairs are not joined with records again
+
+
+def test_names_compared_at_once_equal_one_by_one():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcde \u00e9\U0001d4b3") for _ in range(rng.choice([0, 1, 2, 3, 5, 8, 13, 20, er.LONG, er.LONG + 1])))
+    a = [word() for _ in range(2000)]
+    b = [rng.choice([word(), x, x[1:], x[::-1]]) for x in a]
+    assert er.jaro_winkler_many(np.array(a, dtype=object), np.array(b, dtype=object)).tolist() == [er.jaro_winkler_one(*p) for p in zip(a, b)]
+    assert er.jaro_winkler_many(np.array([], dtype=object), np.array([], dtype=object)).tolist() == []
+
+
+@pytest.mark.parametrize("keys", [2, 6, 9])
+def test_blocks_are_scored_as_pairs_are(spark, keys, monkeypatch):
+    """Absent, empty and unlike attributes, primes with nulls, scopes without; groups and tiles smaller than a name's records; few keys and many."""
+    import random
+
+    monkeypatch.setattr(er, "GROUP", 16), monkeypatch.setattr(er, "TILE", 4)
+    rng = random.Random(keys)
+    names = ["Ann Lee", "ANN  lee", "Ann Leo", "Anna Lee", "Annabel Lee", "Bo", "", None]
+    held = ["email", "ssn", "city", "zip", "tel", "job", "dob", "x", "y"][:keys]
+    rows = [
+        (f"i{i:03d}", rng.choice(names), {k: rng.choice(["1", "2", "A", "a ", "", None]) for k in rng.sample(held, rng.randrange(keys + 1))} if rng.random() < 0.9 else None, rng.choice(["hsm", "cloud", None]), rng.choice([["p"], ["p", "q"], ["r", None], [], None]))
+        for i in range(150)
+    ]
+    f = spark.createDataFrame(rows, DDL)
+    shown = lambda df: sorted(map(repr, df.collect()))
+    want = shown(er.score_pairs(f, er.block_pairs(f)))
+    assert len(want) > 1000 and shown(er.score_blocks(f)) == want
+    live = "decision <> 'NO_MATCH'"
+    assert shown(er.score_blocks(f).filter(live).select("a", "b", "score", "decision")) == shown(er.score_pairs(f, er.block_pairs(f)).filter(live).select("a", "b", "score", "decision"))
+
+
+def test_names_are_compared_once_for_all_who_bear_them(spark):
+    """400 records of two names: no Python call per pair, and loops that HotSpot compiles."""
+    import re
+
+    f = frame(spark, *[(f"i{i:03d}", ("Ann Lee", "Ann Leo")[i % 2], {"email": f"u{i}@x"}) for i in range(400)])
+    scored = er.score_blocks(f).filter("decision <> 'NO_MATCH'").select("a", "b", "score", "decision")
+    assert scored.count() == 400 * 399 // 2
+    assert "EvalPython" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(scored._jdf.queryExecution().sparkPlan())
+    assert all(int(x) < 8000 for x in re.findall(r"maxMethodCodeSize:(\d+)", code))

@@ -22,6 +22,13 @@ MERGE, REVIEW, MARGIN = 0.90, 0.75, 0.08
 EXCLUSIVE = ("email", "dob", "ssn", "national_id", "id_number")
 SCOPES = ("hsm", "process", "container", "cloud")
 
+#: Records of a block that go to one cell together, and of one name that are met as one.
+GROUP, TILE = 1024, 64
+#: Up to so many attribute keys get a column each when pairs are scored.
+KEYS = 6
+#: Pairs of names that are compared at once, each of at most so many characters.
+PAIRS, LONG = 50_000, 64
+
 
 def plain(text: Column) -> Column:
     """Trimmed, lower-case, white space collapsed; "" for null."""
@@ -66,6 +73,56 @@ def jaro_winkler_one(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
+def jaro_winkler_many(a, b):
+    """``jaro_winkler_one`` of arrays of names, character by character over all pairs at once; long names one by one."""
+    import numpy as np
+
+    names, numbers = np.unique(np.concatenate([a, b]).astype(object), return_inverse=True)
+    lengths = np.array([len(x) for x in names], dtype=np.int32)
+    n, out = len(a), np.zeros(len(a))
+    ia, ib = numbers[:n], numbers[n:]
+    la, lb = lengths[ia], lengths[ib]
+    long = np.maximum(la, lb) > LONG
+    out[long] = [jaro_winkler_one(a[i], b[i]) for i in np.flatnonzero(long)]
+    rest = np.flatnonzero(~long)
+    if not len(rest):
+        return out
+    ia, ib, la, lb = ia[rest], ib[rest], la[rest], lb[rest]
+    short = np.where(lengths <= LONG, names, "")
+    letters, codes = np.unique([ord(c) for x in short for c in x], return_inverse=True)
+    width = max(1, max(map(len, short)))
+    table = np.zeros((len(names), width), dtype=np.int32)  # 0: past the end
+    table[np.arange(width) < np.where(lengths <= LONG, lengths, 0)[:, None]] = codes + 1
+    table = table.astype(np.uint8 if len(letters) < 255 else np.int32)
+    x, y = np.ascontiguousarray(table[ia].T), np.ascontiguousarray(table[ib].T)
+    reach = np.maximum(la, lb) // 2 - 1
+    within = [reach >= d for d in range(max(0, int(reach.max()) + 1))]
+    left, right = np.zeros(x.shape, dtype=bool), np.zeros(y.shape, dtype=bool)
+    for i in range(int(la.max())):
+        free = x[i] > 0
+        for j in range(max(0, i - len(within) + 1), min(int(lb.max()), i + len(within))):
+            hit = (x[i] == y[j]) & free & ~right[j] & within[abs(i - j)]
+            right[j] |= hit
+            free &= ~hit
+            left[i] |= hit
+    m = left.sum(axis=0)
+    rank, other = np.cumsum(left, axis=0) - 1, np.cumsum(right, axis=0) - 1
+    met, found = np.zeros(x.shape, dtype=x.dtype), np.zeros(x.shape, dtype=x.dtype)
+    for seen, rows, place, text in ((met, left, rank, x), (found, right, other, y)):
+        i, k = np.nonzero(rows)
+        seen[place[i, k], k] = text[i, k]
+    swaps = (met != found).sum(axis=0) / 2
+    some = np.maximum(m, 1)
+    jaro = np.where(m > 0, (m / np.maximum(la, 1) + m / np.maximum(lb, 1) + (m - swaps) / some) / 3, 0.0)
+    jaro[ia == ib] = 1.0
+    prefix, same = np.zeros(len(ia), dtype=np.int64), np.ones(len(ia), dtype=bool)
+    for u, v in zip(x[:4], y[:4]):
+        same &= (u == v) & (u > 0)
+        prefix += same
+    out[rest] = jaro + prefix * 0.1 * (1 - jaro)
+    return out
+
+
 def jaro_winkler(a: Column, b: Column) -> Column:
     """``jaro_winkler_one`` over Arrow batches; equal pairs of a batch are computed once."""
 
@@ -125,10 +182,54 @@ def score_pairs(records: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def score_blocks(records: DataFrame) -> DataFrame:
-    """``score_pairs`` of all ``block_pairs``: pairs are scored where they meet, so only records are shuffled."""
-    p = materialize(_sides(_prepared(records)).join(representatives(records).filter("id = same_as").select("id"), "id", "left_semi").select("id", "block", "_s"), "er")
-    side = lambda s: p.select("block", F.col("id").alias(s), F.col("_s").alias(f"_{s}"))
-    return _scored(side("a").join(side("b"), "block").filter(F.col("a") < F.col("b")))
+    """``score_pairs`` of all ``block_pairs``: pairs are scored where they meet, so only records are shuffled.
+
+    Names are compared once for all records that bear them.  The records of a block are cut
+    by name into groups, and each group meets the whole block in a cell of its own; within a
+    cell, tiles (records of one name) meet, so that a pair costs two steps of a loop.
+    """
+    reps = _sides(_prepared(records)).join(representatives(records).filter("id = same_as").select("id"), "id", "left_semi")
+    by = Window.partitionBy("block")
+    r = F.row_number().over(by.orderBy("name", "id")) - 1
+    p = materialize(reps.select("block", "name", "id", "_s", F.floor(r / GROUP).cast("int").alias("g"), F.floor(r / TILE).cast("int").alias("t"), F.count(F.lit(1)).over(by).alias("of")), "er")
+    keys = [k[0] for k in p.select(F.explode(F.map_keys("_s.attributes"))).distinct().limit(KEYS + 1).collect()]
+    keys = sorted(keys, key=str.encode) if len(keys) <= KEYS else None
+    member = F.struct("id", "_s") if keys is None else _spread("_s", keys)
+    met = p.groupBy("block", "g", "t", "name").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("of").alias("of"), F.collect_list(member).alias("m"))
+    tiles = materialize(met.withColumn("place", F.row_number().over(Window.partitionBy("block", "g").orderBy("t", "name")) - 1), "er", drop=(p,))
+    near = tiles.groupBy("block", F.col("g").alias("c")).agg(F.array_sort(F.collect_list(F.struct("place", "name", "hi"))).alias("near"))
+    x = tiles.select("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("of") - 1) / GROUP).cast("int"))).alias("c"), "name", "lo", F.col("m").alias("xs")).join(near.hint("shuffle_hash"), ["block", "c"])
+    x = materialize(x.select("block", "c", F.col("name").alias("_na"), "xs", _similarities(F.col("name"), F.col("lo"), F.col("near.name"), F.col("near.hi")).alias("sims")), "er")
+    y = tiles.select("block", F.col("g").alias("c"), F.col("name").alias("_nb"), F.col("m").alias("ys"), "place").hint("shuffle_hash")
+    cells = x.join(y, ["block", "c"]).select("xs", "ys", F.col("sims")[F.col("place")].alias("n"), (F.col("_na") == F.col("_nb")).alias("same_name")).filter("n >= 0")
+    of_tiles = ["n", "same_name"]
+    if keys is not None:
+        cells, of_tiles = _by_slot(cells, len(keys)), [*of_tiles, "_scores", "_decisions"]
+    fields = [f.name for f in cells.schema["xs"].dataType.elementType]
+    side = lambda s: [f"{f}_{s}" for f in fields]
+    each = cells.select(F.inline("xs").alias(*side("a")), "ys", *of_tiles).select(*side("a"), F.inline("ys").alias(*side("b")), *of_tiles).filter("id_a < id_b")
+    each = each.withColumnsRenamed({"id_a": "a", "id_b": "b", "_s_a": "_a", "_s_b": "_b"})
+    return _scored(each) if keys is None else _spread_scored(each, keys)
+
+
+def _similarities(name: Column, lo: Column, names: Column, hi: Column) -> Column:
+    """``jaro_winkler_one`` of a tile's name and each of a list; -1 where no id of that one's tile comes after the tile's first."""
+
+    @F.pandas_udf("array<double>")
+    def run(name: pd.Series, lo: pd.Series, names: pd.Series, hi: pd.Series) -> pd.Series:
+        import numpy as np
+
+        sizes, out, at = names.str.len().to_numpy(), [], 0
+        while at < len(name):
+            end = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), PAIRS, "right")) + at)
+            some, near = sizes[at:end], np.concatenate(names[at:end].to_numpy())
+            found, asked = np.full(len(near), -1.0), np.repeat(lo[at:end].to_numpy(), some) < np.concatenate(hi[at:end].to_numpy())
+            found[asked] = jaro_winkler_many(np.repeat(name[at:end].to_numpy(), some)[asked], near[asked])
+            out += np.split(found, np.cumsum(some)[:-1])
+            at = end
+        return pd.Series(out)
+
+    return run(name, lo, names, hi)
 
 
 def _sides(prepared: DataFrame) -> DataFrame:
@@ -137,32 +238,72 @@ def _sides(prepared: DataFrame) -> DataFrame:
     return prepared.withColumn("_s", F.struct("name", "attributes", "scope", "primes", exclusive.alias("x")))
 
 
+def _veto(primes_a: Column, scope_a: Column, primes_b: Column, scope_b: Column) -> Column:
+    return (F.size(primes_a) > 0) & (F.size(primes_b) > 0) & ~F.arrays_overlap(primes_a, primes_b) & ~scope_a.eqNullSafe(scope_b)
+
+
 def _clash(a: str, b: str) -> tuple[Column, Column]:
     """(conflict, veto) of two sides."""
     unlike = F.zip_with(F.col(f"{a}.x"), F.col(f"{b}.x"), lambda u, v: F.coalesce(u != v, F.lit(False)))
     conflict = F.try_element_at(F.array(*[F.lit(k) for k in EXCLUSIVE]), F.nullif(F.array_position(unlike, F.lit(True)), F.lit(0)).cast("int"))
-    pa, pb = F.col(f"{a}.primes"), F.col(f"{b}.primes")
-    return conflict, (F.size(pa) > 0) & (F.size(pb) > 0) & ~F.arrays_overlap(pa, pb) & ~F.col(f"{a}.scope").eqNullSafe(F.col(f"{b}.scope"))
+    return conflict, _veto(F.col(f"{a}.primes"), F.col(f"{a}.scope"), F.col(f"{b}.primes"), F.col(f"{b}.scope"))
+
+
+def _weighed(n: Column, at: Column) -> Column:
+    return NAME_WEIGHT * n + ATTRIBUTE_WEIGHT * at
+
+
+def _decided(score: Column, similar: Column) -> Column:
+    """The decision on a pair that is not blocked; similar: of one name, or an attribute agrees."""
+    return F.when((score >= MERGE) & similar, "MERGE_VERIFIED").when(score >= REVIEW, "REQUIRES_REVIEW").otherwise("NO_MATCH")
 
 
 def _scored(j: DataFrame) -> DataFrame:
-    """Scores of pairs with their sides (_a, _b)."""
+    """Scores of pairs with their sides (_a, _b).  n, same_name: of their names, where they are known."""
     ka, kb = F.col("_a.attributes"), F.col("_b.attributes")
     shared = F.array_intersect(F.map_keys(ka), F.map_keys(kb))
     matched = F.array_sort(F.filter(shared, lambda k: (ka[k] == kb[k]) & (ka[k] != "")))
     attr = F.when(F.size(shared) > 0, F.size(matched) / F.size(shared)).otherwise(0.0)
     conflict, veto = _clash("_a", "_b")
-    s = j.select("a", "b", jaro_winkler(F.col("_a.name"), F.col("_b.name")).alias("n"), attr.alias("at"), matched.alias("matched"), conflict.alias("conflict"), veto.alias("veto"), ((F.size(ka) > 0) | (F.size(kb) > 0)).alias("has"), (F.col("_a.name") == F.col("_b.name")).alias("same_name"))
-    s = s.withColumn("score", F.round(F.when(F.col("has"), NAME_WEIGHT * F.col("n") + ATTRIBUTE_WEIGHT * F.col("at")).otherwise(F.col("n")), 4))
-    decision = (
-        F.when(F.col("conflict").isNotNull() | F.col("veto"), "MERGE_BLOCKED")
-        .when((F.col("score") >= MERGE) & (F.col("same_name") | (F.size("matched") > 0)), "MERGE_VERIFIED")
-        .when(F.col("score") >= REVIEW, "REQUIRES_REVIEW")
-        .otherwise("NO_MATCH")
-    )
+    if "n" not in j.columns:
+        j = j.select("*", jaro_winkler(F.col("_a.name"), F.col("_b.name")).alias("n"), (F.col("_a.name") == F.col("_b.name")).alias("same_name"))
+    s = j.select("a", "b", "n", attr.alias("at"), matched.alias("matched"), conflict.alias("conflict"), veto.alias("veto"), ((F.size(ka) > 0) | (F.size(kb) > 0)).alias("has"), "same_name")
+    s = s.withColumn("score", F.round(F.when(F.col("has"), _weighed(F.col("n"), F.col("at"))).otherwise(F.col("n")), 4))
+    decision = F.when(F.col("conflict").isNotNull() | F.col("veto"), "MERGE_BLOCKED").otherwise(_decided(F.col("score"), F.col("same_name") | (F.size("matched") > 0)))
     return s.select("a", "b", F.round("n", 4).alias("name_sim"), F.round("at", 4).alias("attr_sim"), "score", "matched", "conflict", "veto", decision.alias("decision"))
 
 
+def _spread(side: str, keys: list[str]) -> Column:
+    """A record with a field for each of all attribute keys: pairs are compared without a walk over maps."""
+    attributes = F.col(f"{side}.attributes")
+    values = [F.try_element_at(attributes, F.lit(k)).alias(f"k{i}") for i, k in enumerate(keys)]
+    return F.struct("id", *values, (F.size(attributes) > 0).alias("has"), F.col(f"{side}.scope").alias("scope"), F.col(f"{side}.primes").alias("primes"))
+
+
+def _by_slot(cells: DataFrame, keys: int) -> DataFrame:
+    """cells with scores and decisions of all pairs of two names: at s * (keys + 1) + m for m of s shared keys agreed, last without attributes.
+
+    By transform, which is no part of the generated loops: HotSpot leaves methods beyond 8,000 bytes uncompiled.
+    """
+    shares = F.array(*[F.lit(m / s if 0 < m <= s else 0.0) for s in range(keys + 1) for m in range(keys + 1)])
+    scores = F.concat(F.transform(shares, lambda at: F.round(_weighed(F.col("n"), at), 4)), F.array(F.round("n", 4)))
+    return cells.withColumn("_scores", scores).withColumn("_decisions", F.transform("_scores", lambda s, i: _decided(s, F.col("same_name") | (i % (keys + 1) > 0))))
+
+
+def _spread_scored(j: DataFrame, keys: list[str]) -> DataFrame:
+    """``_scored`` of two records that ``_spread`` made, with what ``_by_slot`` tells of their names."""
+    values = {k: (F.col(f"k{i}_a"), F.col(f"k{i}_b")) for i, k in enumerate(keys)}
+    same = {k: F.coalesce((u == v) & (u != ""), F.lit(False)) for k, (u, v) in values.items()}
+    shared = reduce(Column.__add__, [(u.isNotNull() & v.isNotNull()).cast("int") for u, v in values.values()], F.lit(0))
+    agreed = reduce(Column.__add__, [s.cast("int") for s in same.values()], F.lit(0))
+    matched = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(s, F.lit(k)) for k, s in same.items()]))
+    conflict = F.coalesce(F.lit(None).cast("string"), *[F.when((values[k][0] != values[k][1]) & (values[k][0] != "") & (values[k][1] != ""), F.lit(k)) for k in EXCLUSIVE if k in values])
+    slot = F.when(F.col("has_a") | F.col("has_b"), shared * (len(keys) + 1) + agreed).otherwise((len(keys) + 1) ** 2)
+    decision = F.when(conflict.isNotNull() | _veto(F.col("primes_a"), F.col("scope_a"), F.col("primes_b"), F.col("scope_b")), "MERGE_BLOCKED").otherwise(F.col("_decisions")[slot])
+    attr = F.when(shared > 0, agreed / shared).otherwise(0.0)
+    return j.select("a", "b", F.round("n", 4).alias("name_sim"), F.round(attr, 4).alias("attr_sim"), F.col("_scores")[slot].alias("score"), matched.alias("matched"), conflict.alias("conflict"), _veto(F.col("primes_a"), F.col("scope_a"), F.col("primes_b"), F.col("scope_b")).alias("veto"), decision.alias("decision"))
+
+
 def decisive(scored: DataFrame) -> DataFrame:
     """Scored pairs with verified merges by name alone put to review unless each is the other's best by a clear margin."""
     live = scored.filter("decision <> 'NO_MATCH'")
